@@ -8,6 +8,7 @@ import importlib
 _HOMES = {
     "op2_token_store": ("token_store", "op2"),
     "op4_toxicity": ("toxicity", "op4"),
+    "op6_language": ("language", "op6"),
     "op7_ngram_join": ("ngram_join", "op7"),
     "op9_decontaminate": ("decontaminate", "op9"),
 }
