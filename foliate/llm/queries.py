@@ -7,6 +7,7 @@ import importlib
 #: Query name and the module whose function opN it is.
 _HOMES = {
     "op2_token_store": ("token_store", "op2"),
+    "op3_warc": ("warc", "op3"),
     "op4_toxicity": ("toxicity", "op4"),
     "op6_language": ("language", "op6"),
     "op7_ngram_join": ("ngram_join", "op7"),
