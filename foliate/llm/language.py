@@ -144,6 +144,8 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 4, rate: float = 0.3, de
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in texts})
     k = len(langs)
+    if not k:
+        return Crf([], np.zeros((BUCKETS, 0)), {}, np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
     stream = words([t for t, _ in texts], LETTERS)
     hashes, bounds = stream.hashes(), stream.bounds
     label_of = np.array([langs.index(lang) for _, lang in texts], dtype=np.int64)
