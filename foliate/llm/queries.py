@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and the module whose function opN it is.
 _HOMES = {
+    "op1_media": ("media", "op1"),
     "op2_token_store": ("token_store", "op2"),
     "op3_warc": ("warc", "op3"),
     "op4_toxicity": ("toxicity", "op4"),
