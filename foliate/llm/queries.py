@@ -10,6 +10,7 @@ _HOMES = {
     "op2_token_store": ("token_store", "op2"),
     "op3_warc": ("warc", "op3"),
     "op4_toxicity": ("toxicity", "op4"),
+    "op5_private": ("private", "op5"),
     "op6_language": ("language", "op6"),
     "op7_ngram_join": ("ngram_join", "op7"),
     "op9_decontaminate": ("decontaminate", "op9"),
