@@ -14,6 +14,7 @@ _HOMES = {
     "op6_language": ("language", "op6"),
     "op7_ngram_join": ("ngram_join", "op7"),
     "op9_decontaminate": ("decontaminate", "op9"),
+    "op10_main_text": ("main_text", "op10"),
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"foliate.llm.{home}"), function) for name, (home, function) in _HOMES.items()}
