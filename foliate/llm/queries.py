@@ -13,6 +13,7 @@ _HOMES = {
     "op5_private": ("private", "op5"),
     "op6_language": ("language", "op6"),
     "op7_ngram_join": ("ngram_join", "op7"),
+    "op8_piece_scan": ("piece_scan", "op8"),
     "op9_decontaminate": ("decontaminate", "op9"),
     "op10_main_text": ("main_text", "op10"),
 }
