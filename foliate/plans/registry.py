@@ -1,7 +1,21 @@
-"""All registered queries of the library, by operator id, with their SQL."""
+"""Registered queries of the library, by operator id, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "flt02_library_search"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under an operator id."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return add
