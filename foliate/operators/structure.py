@@ -148,3 +148,43 @@ def merged_report(drafts: DataFrame, key: str = "doc_id") -> DataFrame:
     first_draft = F.coalesce(given("draft"), given("local"))
     text = F.when(~F.col("enabled"), F.lit("")).when(~F.col("resolved") & given("local").isNotNull(), F.col("local")).when(F.col("dimension") == "reference_list", first_local).otherwise(first_draft)
     return drafts.select(key, "dimension", F.coalesce(text, F.lit("")).alias("text")).groupBy(key).pivot("dimension", list(DIMENSIONS)).agg(F.first("text"))
+
+
+def section_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, dimension, paragraph): the paragraphs whose lines overlap a section's lines and of which some line
+    is part of the section's content."""
+    flat = lambda c: F.regexp_replace(c, tx.BLANK, "")
+    own = sections(docs, key, text).where(~tx.is_blank(F.col("content"))).select(key, "dimension", F.col("first_line").alias("_a"), F.col("end_line").alias("_b"), flat(F.col("content")).alias("_c"))
+    near = paragraph_spans(docs, key, text).join(own, key).where((F.col("first_line") < F.col("_b")) & (F.col("last_line") >= F.col("_a")))
+    stands = F.exists(tx.lines(F.col("content")), lambda x: (flat(x) != "") & F.col("_c").contains(flat(x)))
+    return near.where(stands).select(key, "dimension", "paragraph")
+
+
+def cited_paragraphs(citations: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Over (key, dimension, anchors): rows (key, dimension, anchor, paragraph), null where no paragraph has the number."""
+    parts = docs.select(key, F.posexplode(tx.paragraphs(F.col(text))).alias("anchor", "paragraph"))
+    return citations.select(key, "dimension", F.explode("anchors").alias("anchor")).join(parts, [key, "anchor"], "left")
+
+
+def verdicts(checks: DataFrame) -> DataFrame:
+    """Over (key columns, has_text, trusted, scanned, missing, inconsistent, untraceable): adds fatal, messages and passed.
+
+    Without text nothing can be told, unless the original is trusted and not scanned; a trusted original is asked
+    for completeness alone.
+    """
+    fatal = ~F.col("has_text") & ~(F.col("trusted") & ~F.col("scanned"))
+    others = F.when(F.col("trusted"), 0).otherwise(F.size("inconsistent") + F.size("untraceable"))
+    found = F.when(fatal, 1).otherwise(F.size("missing") + others)
+    return checks.withColumn("fatal", fatal).withColumn("messages", found).withColumn("passed", found == 0)
+
+
+def still_asked(drafts: DataFrame, least: int = 50) -> DataFrame:
+    """Over (doc_id, dimension, local): the dimensions whose local text is too short to do without a draft."""
+    return drafts.where(F.length(F.coalesce(tx.strip(F.col("local")), F.lit(""))) < least)
+
+
+def marked(text: Column, numbers: Column) -> Column:
+    """The named paragraphs of a text with their marks, in order; wrong and repeated numbers are left out."""
+    parts = tx.paragraphs(text)
+    valid = F.array_sort(F.array_distinct(F.filter(numbers, lambda i: (i >= 0) & (i < F.size(parts)))))
+    return F.array_join(F.transform(valid, lambda i: F.concat(F.lit("【段落"), i.cast("string"), F.lit("】"), F.get(parts, i))), "\n\n")

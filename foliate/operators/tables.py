@@ -111,3 +111,17 @@ def tag_tree(tags: DataFrame, levels: int = 16) -> DataFrame:
             break
         out = out.union(layer)
     return out
+
+
+def with_new_ids(rows: DataFrame, table: DataFrame, order: str) -> DataFrame:
+    """Adds ids that follow the table's greatest, in the order of a column that tells the rows apart.
+
+    Rows are numbered within ranges of the order first, and the ranges' sizes are added up, so that no task
+    sees more than its range.
+    """
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    ranged = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    inner = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    sizes = inner.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).drop("_size")
+    return inner.join(F.broadcast(before), "_part").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_top")

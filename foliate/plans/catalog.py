@@ -1,4 +1,4 @@
 """Imports all modules that register queries."""
 
-from foliate.plans import documents, relational, reports  # noqa: F401
+from foliate.plans import checks, documents, relational, reports  # noqa: F401
 from foliate.plans.registry import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
