@@ -19,4 +19,27 @@ _HOMES = {
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"foliate.llm.{home}"), function) for name, (home, function) in _HOMES.items()}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS INT), 1)), '')"
+
+#: SQL for those queries that it can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op3_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM f""",
+    "op7_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS ws FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c.c >= 85 * (a.n + b.n - c.c)),
+ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(y) FROM r WHERE x = w.doc_id), w.doc_id)) AS component_id, (SELECT count(*) FROM l WHERE x = w.doc_id) AS n_links FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+ i AS (SELECT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT item_id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p FROM b WHERE len(ws) > 0)),
+ o AS (SELECT doc_id, k, p, item_id FROM (SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)) JOIN i USING (k, g)),
+ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM o) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+}
