@@ -329,7 +329,7 @@ def stm05(spark, sf_dir):
     return br.log(spark, sf_dir).where(F.col("operate_time") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("id")
 
 
-@query("stm06_hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
-def stm06(spark, sf_dir):
+@query("ext01_hourly_log_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def ext01(spark, sf_dir):
     found = sl.window_counts(sl.timed(br.table(spark, sf_dir, "events")), "event_type")
     return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 3).alias("total"))
