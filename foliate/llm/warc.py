@@ -171,7 +171,9 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return files.select("file", "bytes").repartition(F.col("file")).mapInArrow(run, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary")
+    # tasks by the files' bytes, which the rows of the manifest don't show
+    tasks = max(1, -(-(files.agg(F.sum("bytes")).first()[0] or 0) // FILE_BYTES))
+    return files.select("file", "bytes").repartition(tasks, F.col("file")).mapInArrow(run, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary")
 
 
 _KINDS = [("key", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary())]
