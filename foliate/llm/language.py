@@ -220,12 +220,16 @@ def held_out(key: str) -> Column:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Crf:
     """The field learned from at most ``sample`` texts of each language that are not held out: those with
     the least hashes of their keys, among texts of at most LONGEST bytes that have a language."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & (F.octet_length(text) <= LONGEST))
-    langs = [r[0] for r in known.select(lang).distinct().orderBy(lang).collect()]
-    texts = []
-    for name in langs:
-        rows = known.where(F.col(lang) == name).select(key, text, F.xxhash64(key).alias("_h")).orderBy("_h", key, text).limit(sample).collect()
-        texts += [(r[1].encode(), name) for r in rows]
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key) & (F.octet_length(text) <= LONGEST))
+    keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_h"))
+    chosen = None
+    for name in [r[0] for r in known.select(lang).distinct().orderBy(lang).collect()]:
+        part = keys.where(F.col("_lang") == name).orderBy("_h", "_key").limit(sample).select("_key").distinct()
+        chosen = part if chosen is None else chosen.union(part)
+    if chosen is None:
+        return train([])
+    rows = known.join(F.broadcast(chosen.distinct()), F.col(key) == F.col("_key")).select(key, text, lang).distinct().collect()
+    texts = [(r[1].encode(), r[2]) for r in sorted(rows)]
     return train(texts)
 
 
