@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import as_bytes, blocks, byte_class, mix, words
+from foliate.llm.shared import as_bytes, blocks, bounded, byte_class, mix, words
 
 BUCKETS, RUN, AFFIXES = 1 << 16, 32, (1, 2, 3, 4)
 #: Texts of each language that training takes at most, and the longest among them in bytes.
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text")
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(pa.float64()))], names=["key", "lang_pred", "score", "mix"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double, mix array<double>")
     return made.withColumnRenamed("key", key)
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.llm.shared import bounded
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(script|style|noscript|textarea|title|iframe|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\b[^>]*>|\Z)"
@@ -208,7 +210,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 made = [main_text(p or "", tree) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[0] for m in made], pa.string()), *(pa.array(x, pa.int64()) for x in ([len(m[0]) for m in made], [m[1] for m in made], [m[2] for m in made]))], names=["key", "url", "text", "n_chars", "n_blocks", "n_kept"])
 
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
+    rows = bounded(pages).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, url string, text string, n_chars long, n_blocks long, n_kept long").withColumnRenamed("key", key)
 

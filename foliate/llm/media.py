@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import as_bytes, blocks
+from foliate.llm.shared import as_bytes, blocks, bounded
 
 UNIT = 192
 #: Units in a row and in a column of a frame of a longer text; frames per second.
@@ -355,7 +355,7 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _encode_batches(batches)
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, media binary").withColumnRenamed("key", key)
 
 
@@ -369,7 +369,7 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """One row per shot: key, clip, first_frame, frames, start_s, end_s, and the difference that began it.
     Null media give no rows; a file that is no AVI with baseline frames is an error."""
-    rows = media.select(F.col(key).alias("key"), F.col(column).alias("media")).where("media IS NOT NULL")
+    rows = bounded(media).select(F.col(key).alias("key"), F.col(column).alias("media")).where("media IS NOT NULL")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +400,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=names)
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return made.withColumnRenamed("key", key)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.files import Rolling, located, read
-from foliate.llm.shared import mix, shared_dir
+from foliate.llm.shared import bounded, mix, shared_dir
 
 END_ID = 1
 #: Bytes of text for one shard, about; entries of the memo of encoded pieces in each worker.
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
     A null or empty text has the end id alone. Rows that share a key stand side by side, in the
     order of their ids. An empty table gives one manifest without shards. Keys are whole numbers.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     cuts = _cuts(rows, "key", "text", shard_text)
     held: list[Encoder] = []
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm.files import Rolling, located
-from foliate.llm.shared import shared_dir
+from foliate.llm.shared import bounded, shared_dir
 
 #: Payload bytes of one range, about, and compressed bytes after which a file is closed.
 RANGE_BYTES, FILE_BYTES = 32 << 20, 8 << 20
@@ -90,7 +90,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     Two narrow shuffles find the first record of each repeated payload; payloads move once, to
     their range. A range without rows writes no file.
     """
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).where("key IS NOT NULL")
+    rows = bounded(pages).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).where("key IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
     ranges = max(1, -(-total // range_bytes))
     cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or ())) if ranges > 1 else []
