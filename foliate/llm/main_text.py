@@ -42,6 +42,8 @@ _FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button select opt
 #: An opening tag of the first kind ends open elements of the second.
 _ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _STOPS = frozenset("ul ol dl table article section div body nav aside footer header main form td th".split())
+#: The stops of each of these opening tags: an element that the tag ends is none.
+_STOPS_OF = {tag: tuple(_STOPS.difference(ends)) for tag, ends in _ENDS.items()}
 
 
 @dataclass
@@ -69,6 +71,7 @@ def page_blocks(page: str) -> list[Block]:
     """Blocks with some text, in page order; references decoded, white space within a block made one space."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
+    places: dict[str, list[int]] = {}  # of each tag, where its open elements are on the stack
     pieces: list[str] = []
     furniture = article = False
     link, linked, heading, at = 0, 0, False, 0
@@ -82,6 +85,17 @@ def page_blocks(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
+    def last(tags: tuple[str, ...]) -> int:
+        return max((found[-1] for t in tags if (found := places.get(t))), default=-1)
+
+    def cut(i: int) -> None:
+        """Ends the open elements from place i on."""
+        nonlocal furniture, article
+        for name, _, _ in stack[i:]:
+            places[name].pop()
+        del stack[i:]
+        furniture, article = stack[-1][1:] if stack else (False, False)
+
     def add(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
@@ -106,18 +120,13 @@ def page_blocks(page: str) -> list[Block]:
             close()
         if closing:
             heading = heading and tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
-            for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    furniture, article = stack[-1][1:] if stack else (False, False)
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
         elif tag not in _VOID:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 17), -1):
-                if stack[i][0] in _ENDS.get(tag, ()):
-                    del stack[i:]
-                    furniture, article = stack[-1][1:] if stack else (False, False)
-                elif stack[i][0] in _STOPS:
-                    break
+            if tag in _ENDS:
+                stop = last(_STOPS_OF[tag])
+                while (i := last(_ENDS[tag])) > stop:
+                    cut(i)
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
             elif tag in _BLOCK:
@@ -125,6 +134,7 @@ def page_blocks(page: str) -> list[Block]:
             attributes = token[4] if token[3] else token[7]
             if not (attributes or "").endswith("/"):
                 furniture, article = _marks(tag, attributes or "", furniture, article)
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, furniture, article))
     add(page[at:])
     close()

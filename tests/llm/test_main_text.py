@@ -31,6 +31,22 @@ def test_pages(tree, name):
     assert mt.main_text(page, tree)[0] == want
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 3000])
+def test_closing_tags_find_openers_at_any_depth(tree, n):
+    page = f"<body><nav>{'<font>x ' * n}</nav><article><h1>Head</h1><p>{LONG}</p></article></body>"
+    assert mt.main_text(page, tree)[0] == f"Head\n{LONG}"
+    found = mt.page_blocks(f"<article><p>{LONG}{'<span>x ' * n}</article><div>after</div>")
+    assert [b.article for b in found] == [True, False]
+
+
+@pytest.mark.parametrize("n", [15, 16, 17, 3000])
+def test_implied_ends_at_any_depth(n):
+    found = mt.page_blocks(f"<table><tr><td class=ad>x{'<b>' * n}<td>y<tr><td>z{'<i>' * n}</table>w")
+    assert [(b.text, b.furniture) for b in found] == [("x", True), ("y", False), ("z", False), ("w", False)]
+    found = mt.page_blocks(f"<ul><li class=ad>x{'<b>' * n}<ul><li>y</ul><li>z</ul>")
+    assert [(b.text, b.furniture) for b in found] == [("x", True), ("y", True), ("z", False)]
+
+
 def test_table(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES.values())] + [(100, None, None), (101, "u", ""), (102, "u", "<" * 20_000), (103, "u", "<a href='" * 3000), (104, "u", "<div>" * 5000 + "x"), (0, "u0", PAGES["element"][0])]
     got = mt.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
