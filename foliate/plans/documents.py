@@ -263,7 +263,7 @@ def anc07(spark, sf_dir):
 
 def _boxes(spark, sf_dir) -> DataFrame:
     """Word boxes from the lines of orders: a geometry only."""
-    return br.table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select(
+    return br.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_quantity") * 8.0).cast("double").alias("x0"), (F.col("l_quantity") * 8.0 + 30).cast("double").alias("x1"), (F.col("l_linenumber") * 5.0).cast("double").alias("top"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text")
     )
 
