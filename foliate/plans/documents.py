@@ -80,7 +80,7 @@ def str15(spark, sf_dir):
  FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY l_orderkey""",
 )
 def str17(spark, sf_dir):
-    rows = br.table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0")
+    rows = br.table(spark, sf_dir, "lineitem")
     cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("c"))))
     head = F.array(F.array(F.lit("part"), F.lit(" qty\n")))
     return rows.groupBy("l_orderkey").agg(tx.markdown_table(F.concat(head, F.transform(cells, lambda r: r["c"]))).alias("markdown"))
