@@ -28,12 +28,10 @@ def flt15(spark, sf_dir):
 
 @query("flt20_history_predicates", "SELECT user_id, bool_or(event_type = 'error') AS failed, bool_or(event_type = 'purchase' AND value > 50) AS done, count(*) FILTER (event_type <> 'view') AS others FROM events GROUP BY user_id")
 def flt20(spark, sf_dir):
-    history = br.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_type", "value")).alias("h"))
-    return history.select(
-        "user_id",
-        F.exists("h", lambda e: e["event_type"] == "error").alias("failed"),
-        F.exists("h", lambda e: (e["event_type"] == "purchase") & (e["value"] > 50)).alias("done"),
-        F.size(F.filter("h", lambda e: e["event_type"] != "view")).cast("long").alias("others"),
+    return br.table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.bool_or(F.col("event_type") == "error").alias("failed"),
+        F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("done"),
+        F.count_if(F.col("event_type") != "view").alias("others"),
     )
 
 

@@ -37,3 +37,15 @@ def test_layout_of_all_orders(spark, name):
 @pytest.mark.parametrize(("name", "cut"), [("str17_markdown_table", " WHERE l_orderkey % 16 = 0"), ("jn07_reported_ids", "id % 3 = 0 AND ")])
 def test_no_part_by_modulo(spark, name, cut):
     same_rows(spark, name, cut)
+
+
+def test_histories_are_not_collected(spark, tmp_path):
+    """Unknown values count as in the SQL, and no list of a user's events is made."""
+    name = "flt20_history_predicates"
+    rows = [(1, "purchase", None), (1, "view", 1.0), (2, "error", 2.0), (2, None, 3.0), (3, "purchase", 51.0), (3, "purchase", None)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"file:{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, f"file:{tmp_path}")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    assert "collect_list" not in df._jdf.queryExecution().toString()
