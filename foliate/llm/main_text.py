@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into blocks at block-level tags. A block has its words, its link density and
-those of the blocks before and after it, and three marks from the tags around it. The tree
-is grown from TABLE, a small table of labelled blocks.
+A page is cut into blocks at block-level tags. A block has its words, its link density and those
+of the blocks before and after it, the share of the page's running text in the part it stands in,
+and marks from the elements around it. The tree is grown from the blocks of PAGES, a few small
+pages whose blocks are labelled. A part of the page with a name of page furniture counts as one
+only if it is a small one without the page's heading: names alone decide nothing.
 """
 
 from __future__ import annotations
@@ -51,29 +53,42 @@ class Block:
     text: str
     words: int
     linked: int
-    furniture: bool
+    part: int
     article: bool
     heading: bool
 
 
-def _marks(tag: str, attributes: str, furniture: bool, article: bool) -> tuple[bool, bool]:
-    """Whether an element's text is page furniture, and whether it is within an article."""
+@dataclass
+class Part:
+    """An element that may be page furniture: by its tag or by a name. wraps: the page's own heading or article is in it."""
+
+    above: int
+    by_tag: bool
+    form: bool
+    words: int = 0
+    wraps: bool = False
+
+
+def _furniture(tag: str, attributes: str, article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element may be page furniture by its tag, and by a name; and whether an article begins."""
     names = set()
     if attributes and "=" in attributes:
         for found in _NAMES.findall(attributes):
             names |= {p.lower() for p in _PART.findall("".join(found))}
-    inside = article or tag in ("article", "main") or bool(names & _CONTENT and not names & _FURNITURE)
-    outside = furniture or tag in _FURNITURE_TAGS or (tag == "header" and not article) or (tag not in ("html", "body", "article", "main") and bool(names & _FURNITURE) and not (article and names & {"header", "banner", "body"}))
-    return outside, inside
+    inside = tag in ("article", "main") or bool(names & _CONTENT and not names & _FURNITURE)
+    named = tag not in ("html", "body", "main") and bool(names & _FURNITURE) and not (article and names & {"header", "banner", "body"})
+    return tag in _FURNITURE_TAGS or (tag == "header" and not article), named, inside and not (named and tag == "article")
 
 
-def page_blocks(page: str) -> list[Block]:
-    """Blocks with some text, in page order; references decoded, white space within a block made one space."""
+def page_blocks(page: str) -> tuple[list[Block], list[Part]]:
+    """Blocks with some text, in page order, references decoded, white space within a block made one space; and the
+    parts of the page that they stand in, the first being the page itself."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    parts = [Part(-1, False, False)]
+    stack: list[tuple[str, int, bool]] = []
     places: dict[str, list[int]] = {}  # of each tag, where its open elements are on the stack
     pieces: list[str] = []
-    furniture = article = False
+    part, article = 0, False
     link, linked, heading, at = 0, 0, False, 0
 
     def close() -> None:
@@ -81,7 +96,8 @@ def page_blocks(page: str) -> list[Block]:
         text = " ".join("".join(pieces).split())
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(linked, words), furniture, article, heading))
+            out.append(Block(text, words, min(linked, words), part, article, heading))
+            parts[part].words += words - out[-1].linked
         pieces.clear()
         linked = 0
 
@@ -90,11 +106,11 @@ def page_blocks(page: str) -> list[Block]:
 
     def cut(i: int) -> None:
         """Ends the open elements from place i on."""
-        nonlocal furniture, article
+        nonlocal part, article
         for name, _, _ in stack[i:]:
             places[name].pop()
         del stack[i:]
-        furniture, article = stack[-1][1:] if stack else (False, False)
+        part, article = stack[-1][1:] if stack else (0, False)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -103,6 +119,13 @@ def page_blocks(page: str) -> list[Block]:
         if link:
             linked += len(text.split())
 
+    def wrap() -> None:
+        """The page's heading or article begins: named parts and forms around it hold the page's text."""
+        i = part
+        while i >= 0 and not parts[i].wraps and (parts[i].form or not parts[i].by_tag):
+            parts[i].wraps = True
+            i = parts[i].above
+
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             add(page[at : token.start()])
@@ -133,37 +156,64 @@ def page_blocks(page: str) -> list[Block]:
                 heading = False
             attributes = token[4] if token[3] else token[7]
             if not (attributes or "").endswith("/"):
-                furniture, article = _marks(tag, attributes or "", furniture, article)
+                by_tag, named, begins = _furniture(tag, attributes or "", article)
+                if begins or tag == "h1":
+                    wrap()
+                if by_tag or named:
+                    parts.append(Part(part, by_tag, tag == "form"))
+                    part = len(parts) - 1
+                article = article or begins
                 places.setdefault(tag, []).append(len(stack))
-                stack.append((tag, furniture, article))
+                stack.append((tag, part, article))
     add(page[at:])
     close()
-    return out
-
-
-FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "furniture", "article", "heading")
-#: Labelled blocks: the values of FEATURES, then 1 for main text.
-TABLE = [
-    # articles in an article or main element
-    (12, 0.0, 6, 1.0, 80, 0.0, 0, 1, 1, 1), (80, 0.0, 12, 0.0, 95, 0.0, 0, 1, 0, 1), (95, 0.02, 80, 0.0, 40, 0.0, 0, 1, 0, 1), (1, 0.0, 95, 0.0, 60, 0.0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 8, 0.0, 0, 1, 0, 1),
-    (8, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1), (40, 0.1, 95, 0.0, 7, 0.0, 0, 1, 0, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 1), (2, 0.0, 9, 0.0, 9, 0.0, 0, 1, 0, 1), (9, 0.0, 8, 0.0, 6, 0.0, 0, 1, 1, 1),
-    (25, 0.3, 60, 0.0, 50, 0.0, 0, 1, 0, 1), (4, 0.25, 50, 0.0, 30, 0.1, 0, 1, 0, 1), (150, 0.05, 4, 0.0, 7, 0.5, 0, 1, 0, 1), (6, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1), (1, 0.0, 6, 0.0, 7, 0.0, 0, 1, 0, 1),
-    # links and furniture within articles
-    (5, 1.0, 90, 0.0, 60, 0.0, 1, 1, 0, 0), (7, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0, 0), (40, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 0), (3, 1.0, 70, 0.0, 3, 1.0, 1, 1, 0, 0), (4, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0),
-    (30, 0.0, 4, 0.0, 25, 0.0, 1, 1, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (4, 1.0, 3, 1.0, 40, 0.0, 0, 1, 0, 0), (5, 1.0, 120, 0.0, 4, 1.0, 0, 1, 0, 0),
-    # menus, headers, footers, sidebars, notices, adverts, forms and comments by their elements
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0), (8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (14, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 0), (45, 0.05, 3, 0.0, 60, 0.0, 1, 0, 0, 0), (70, 0.0, 12, 0.0, 65, 0.0, 1, 0, 0, 0), (20, 0.1, 0, 0.0, 4, 1.0, 1, 0, 0, 0), (2, 0.0, 4, 0.0, 3, 0.0, 1, 0, 0, 0),
-    (120, 0.0, 30, 0.0, 10, 0.0, 1, 0, 0, 0), (30, 0.5, 60, 0.0, 10, 1.0, 1, 0, 0, 0), (10, 0.0, 10, 0.0, 150, 0.0, 1, 0, 1, 0), (6, 0.5, 14, 0.0, 0, 0.0, 1, 0, 0, 0), (9, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0),
-    # pages without any of these elements
-    (9, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1, 1), (70, 0.0, 9, 0.0, 85, 0.0, 0, 0, 0, 1), (85, 0.1, 70, 0.0, 50, 0.0, 0, 0, 0, 1), (50, 0.0, 85, 0.1, 6, 0.3, 0, 0, 0, 1), (30, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 55, 0.0, 65, 0.0, 0, 0, 1, 1), (25, 0.2, 60, 0.0, 30, 0.0, 0, 0, 0, 1), (40, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (12, 0.0, 45, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (10, 0.8, 12, 0.9, 10, 1.0, 0, 0, 0, 0), (5, 0.4, 50, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (6, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 5, 0.4, 0, 0.0, 0, 0, 0, 0), (30, 0.9, 40, 0.8, 20, 0.9, 0, 0, 0, 0),
-]
-
-
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 1):
+    for p in reversed(parts[1:]):
+        parts[p.above].words += p.words
+    return out, parts
+
+
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "named_share", "tag_share", "article", "heading")
+#: Labelled pages: [+n] stands for n words of main text, [-n] for n others; a block has the label of its words.
+PAGES = (
+    # news: menu, advert, article element, footer
+    "<nav><ul><li><a>[-1]</a><li><a>[-2]</a><li><a>[-1]</a></ul></nav><div class=ad>[-7]</div><article><h1>[+12]</h1><p>[+80]<p>[+6]<p>[+1]<p>[+45]<p>[+9]</article><footer>[-11]</footer>",
+    "<header><a>[-2]</a> [-3]</header><nav><a>[-1]</a> <a>[-1]</a></nav><main><h1>[+6]</h1><p>[+3]<p>[+120]<ul><li>[+4]<li>[+2]<li>[+5]</ul><p>[+25]<div class=share><a>[-1]</a> <a>[-1]</a></div><p>[+2]</main><aside><h2>[-3]</h2><p>[-40]<p>[-18]</aside><footer><a>[-2]</a> [-8]</footer>",
+    # blog without semantic elements: densities and neighbours alone
+    "<div><a>[-1]</a></div><div><a>[-2]</a></div><div>[-7]</div><h1>[+8]</h1><div>[+60]</div><div>[+5]</div><div>[+95]</div><div>[+30]</div><div>[-9]</div>",
+    "<div><a>[-3]</a></div><div><a>[-1]</a></div><h2>[+3]</h2><div>[+70]</div><div>[+40]</div><h3>[+4]</h3><div>[+55]</div><div>[+12]</div><div>[+65]</div><div><a>[-4]</a></div><div><a>[-2]</a></div><div>[-6]</div>",
+    "<table><tr><td><a>[-1]</a><td><a>[-1]</a></table><p>[-5]<p>[+50]<p>[+28]<p>[+7]<p>[+33]<p><a>[-3]</a> [-2] <a>[-4]</a>",
+    "<div><a>[-1]</a></div><div><a>[-2]</a></div><div>[-6]</div><div>[+90]</div><div>[+41]</div><div>[-8]</div>",
+    "<div><a>[-2]</a></div><h2>[+3]</h2><div>[+38]</div><div>[+52]</div><p>[+3]</p><div>[+64]</div><div><a>[-3]</a></div>",
+    "<ul><li><a>[-1]</a><li><a>[-1]</a></ul><h1>[+9]</h1><p>[+18]<p>[+5]<p>[+2]<p>[+1]<p>[+12]<p>[+77]<p>[+6]<p>[+8]<ul><li><a>[-3]</a></ul>",
+    "<div><a>[-9]</a></div><h1>[+7]</h1><p>[+60]<p>[+16]<h2>[+2]</h2><p>[+24]<div><a>[-12]</a></div>",
+    # names around the text of the page, and around small parts of it
+    "<div class='post share'><h1>[+7]</h1><p>[+90]<p>[+10]<p>[+50]</div><div class=related><a>[-5]</a> <a>[-6]</a></div>",
+    "<div class=login-guide><p>[+75]<p>[+42]<p>[+8]<p>[+31]</div><div class=sidebar><p>[-20]<p>[-4]</div>",
+    "<div class=story-related><article><h1>[+9]</h1><p>[+66]<p>[+15]</article></div><div class=comments><h2>[-2]</h2><p>[-45]<p>[-12]</div>",
+    "<div id=cookie-notice>[-38]</div><article><h1>[+5]</h1><p>[+58]<p>[+3]</article><section id=comments><h2>[-1]</h2><p>[-50]<p>[-6]<p>[-22]</section>",
+    "<form id=page><h1>[+6]</h1><p>[+85]<p>[+20]</form><form class=newsletter><p>[-14]<label>[-2]</label></form>",
+    "<main><h1>[+4]</h1><p>[+35]<div class=newsletter-signup><p>[-16]</div><p>[+48]<div class=ad-slot>[-5]</div><p>[+11]</main><aside><p>[-70]</aside><footer>[-30]</footer>",
+    # text to the end of the page
+    "<nav><a>[-2]</a></nav><article><h1>[+8]</h1><p>[+44]<p>[+60]</article>",
+    "<header><h2>[-2]</h2></header><article><h1>[+3]</h1><p>[+33]<p>[+20]<p>[+2]</article>",
+    "<div><a>[-1]</a></div><div><a>[-2]</a></div><h1>[+5]</h1><div>[+70]</div><div>[+4]</div><div>[+25]</div>",
+    # links within a text, lists of links, and texts of links
+    "<article><h1>[+10]</h1><p>[+20] <a>[+4]</a> [+30]<p>[+3] <a>[+2]</a> [+4]<ul><li><a>[-5]</a><li><a>[-4]</a><li><a>[-6]</a></ul><p>[+52]</article>",
+    "<div><a>[-6]</a></div><div><a>[-8]</a> [-2]</div><div><a>[-7]</a></div><h2>[-3]</h2><div><a>[-5]</a></div><div>[-2] <a>[-9]</a></div>",
+)
+
+
+def labelled(pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES of the blocks of labelled pages, and 1 for main text."""
+    rows, labels = [], []
+    for page in pages:
+        found, parts = page_blocks(re.sub(r"\[([+-])(\d+)\]", lambda m: " ".join([{"+": "yes", "-": "no"}[m[1]]] * int(m[2])), page))
+        rows += rows_of(found, parts)
+        labels += ["yes" in b.text.split() for b in found]
+    return np.array(rows, dtype=np.float64), np.array(labels, dtype=np.float64)
+
+
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 1):
     """A tree (feature, limit, tree at or below, tree above) by Gini impurity, or the share of label 1 at a leaf."""
     share = float(labels.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -190,28 +240,36 @@ def decide(tree, row: tuple) -> bool:
     return tree >= 0.5
 
 
-def rows_of(found: list[Block]) -> list[tuple]:
-    """The values of FEATURES of each block of a page; a missing neighbour has no words and no links."""
+def rows_of(found: list[Block], parts: list[Part]) -> list[tuple]:
+    """The values of FEATURES of each block of a page; a missing neighbour has no words and no links. The shares are those
+    of the innermost part by name and by tag, of all unlinked words: 1 where there is none, or one that wraps the page's
+    heading or article; 0 where something else wraps these."""
+    total = max(parts[0].words, 1)
+    shares = [(1.0, 1.0)]
+    for p in parts[1:]:
+        named, tag = shares[p.above]
+        own = 0.0 if parts[0].wraps else p.words / total
+        shares.append((named, tag) if p.wraps else (named, own) if p.by_tag else (own, tag))
     size = [(b.words, b.linked / b.words) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
-    return [(*around[i + 1], *around[i], *around[i + 2], int(b.furniture), int(b.article), int(b.heading)) for i, b in enumerate(found)]
+    return [(*around[i + 1], *around[i], *around[i + 2], *shares[b.part], int(b.article), int(b.heading)) for i, b in enumerate(found)]
 
 
 def main_text(page: str, tree) -> tuple[str, int, int]:
     """The main text, and the numbers of blocks and of blocks kept."""
-    found = page_blocks(page)
-    kept = [b.text for b, row in zip(found, rows_of(found), strict=True) if decide(tree, row)]
+    found, parts = page_blocks(page)
+    kept = [b.text for b, row in zip(found, rows_of(found, parts), strict=True) if decide(tree, row)]
     return "\n".join(kept), len(found), len(kept)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", table: list[tuple] = TABLE) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", examples: tuple[str, ...] = PAGES) -> DataFrame:
     """Rows (key, url, text, n_chars, n_blocks, n_kept), one for each row of pages.
 
-    A null or empty page, and one without main text, has the empty text. Equal pages give equal texts;
+    A null or empty page, and one without main text, has the empty text. The tree is grown from the
+    blocks of ``examples``. Equal pages give equal texts;
     unclosed tags, comments and scripts reach to where their element must end; an empty table gives no rows.
     """
-    labelled = np.array(table, dtype=np.float64)
-    tree = grow(labelled[:, :-1], labelled[:, -1])
+    tree = grow(*labelled(examples))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,11 @@
-import numpy as np
+import html
+import re
+
 import pytest
 
 from foliate.llm import main_text as mt
 
+SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i}" for i in range(60))
 PAGES = {
     "element": (f'<html><head><title>T</title><script>if (a<b) "</p>"</script></head><body><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>{LONG}<p>Short\n one.<br>two &nbsp; three</p></article><footer>&copy; us</footer>', f"Head & line\n{LONG}\nShort one. two three"),
@@ -17,12 +20,13 @@ PAGES = {
 
 @pytest.fixture(scope="module")
 def tree():
-    t = np.array(mt.TABLE, dtype=float)
-    return mt.grow(t[:, :-1], t[:, -1])
+    return mt.grow(*mt.labelled())
 
 
-def test_tree_fits_its_table(tree):
-    assert all(mt.decide(tree, row[:-1]) == bool(row[-1]) for row in mt.TABLE)
+def test_tree_fits_its_pages_and_begins_with_density(tree):
+    rows, labels = mt.labelled()
+    assert [mt.decide(tree, r) for r in rows.tolist()] == labels.astype(bool).tolist()
+    assert mt.FEATURES[tree[0]] == "link"
 
 
 @pytest.mark.parametrize("name", PAGES)
@@ -35,21 +39,58 @@ def test_pages(tree, name):
 def test_closing_tags_find_openers_at_any_depth(tree, n):
     page = f"<body><nav>{'<font>x ' * n}</nav><article><h1>Head</h1><p>{LONG}</p></article></body>"
     assert mt.main_text(page, tree)[0] == f"Head\n{LONG}"
-    found = mt.page_blocks(f"<article><p>{LONG}{'<span>x ' * n}</article><div>after</div>")
+    found, _ = mt.page_blocks(f"<article><p>{LONG}{'<span>x ' * n}</article><div>after</div>")
     assert [b.article for b in found] == [True, False]
 
 
 @pytest.mark.parametrize("n", [15, 16, 17, 3000])
 def test_implied_ends_at_any_depth(n):
-    found = mt.page_blocks(f"<table><tr><td class=ad>x{'<b>' * n}<td>y<tr><td>z{'<i>' * n}</table>w")
-    assert [(b.text, b.furniture) for b in found] == [("x", True), ("y", False), ("z", False), ("w", False)]
-    found = mt.page_blocks(f"<ul><li class=ad>x{'<b>' * n}<ul><li>y</ul><li>z</ul>")
-    assert [(b.text, b.furniture) for b in found] == [("x", True), ("y", True), ("z", False)]
+    found, _ = mt.page_blocks(f"<table><tr><td class=ad>x{'<b>' * n}<td>y<tr><td>z{'<i>' * n}</table>w")
+    assert [(b.text, b.part > 0) for b in found] == [("x", True), ("y", False), ("z", False), ("w", False)]
+    found, _ = mt.page_blocks(f"<ul><li class=ad>x{'<b>' * n}<ul><li>y</ul><li>z</ul>")
+    assert [(b.text, b.part > 0) for b in found] == [("x", True), ("y", True), ("z", False)]
+
+
+@pytest.mark.parametrize("name", ["story-related", "post share", "login-guide", "article-comment-policy", "sidebar"])
+@pytest.mark.parametrize("page", ["<nav><a>x</a></nav><div class='{}'><article><h1>Head</h1><p>{}</article></div><footer>end of it</footer>", "<div><a>x</a></div><div class='{}'><h1>Head</h1><p>{}</div><footer>end</footer>", "<div class='{}'><p>Head<p>{}</div><div><a>x</a></div>"])
+def test_names_around_an_article_keep_it(tree, name, page):
+    assert mt.main_text(page.format(name, LONG), tree)[0] == f"Head\n{LONG}"
+
+
+def plain(page):
+    """The text of the article element alone, for pages that have one."""
+    inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+    blocks = re.split(r"</?(?:p|h1|h2|ul|li|div|table|tr|td)\b[^>]*>", inside[1]) if inside else []
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", re.sub(r"<!--.*?-->", "", b))).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
+def test_query_gives_the_article_of_every_page(spark):
+    from foliate.llm.queries import QUERIES
+
+    want = {r.page_id: plain(r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = QUERIES["op10_main_text"](spark, SF).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_without_names_densities_tell_most_blocks(spark):
+    rows, labels = mt.labelled()
+    at = mt.FEATURES.index("named_share")
+    rows[:, at] = 1
+    tree, right, blocks = mt.grow(rows, labels), 0, 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        found, parts = mt.page_blocks(r.html or "")
+        inside = set(plain(r.html).split("\n"))
+        for b, row in zip(found, mt.rows_of(found, parts), strict=True):
+            right += mt.decide(tree, (*row[:at], 1.0, *row[at + 1 :])) == (b.text in inside)
+            blocks += 1
+    assert right > 0.9 * blocks
 
 
 def test_table(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES.values())] + [(100, None, None), (101, "u", ""), (102, "u", "<" * 20_000), (103, "u", "<a href='" * 3000), (104, "u", "<div>" * 5000 + "x"), (0, "u0", PAGES["element"][0])]
-    got = mt.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "0 AS key", "1 AS n_chars")
+    got = mt.extract(docs).collect()
     by = {r.page_id: r for r in got}
     assert len(got) == len(rows) and all(by[i].text == w and by[i].n_chars == len(w) for i, (_, w) in enumerate(PAGES.values()))
     assert by[100].text == by[101].text == "" and by[100].n_chars == 0
