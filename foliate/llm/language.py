@@ -1,24 +1,25 @@
 """Language identification by a linear-chain conditional random field over words.
 
 A word's features are hashed: its leading and trailing 1 to 4 bytes, its byte trigrams, the
-word itself, and the languages whose lexicon has it. Sequences are runs of at most ``RUN``
-words of a text. Weights and transitions are learned together by Adagrad on the conditional
-log-likelihood, on sequences spliced from texts of several languages so that transitions are
-seen. Forward-backward runs over all sequences of a block at once, in the probability domain.
+word itself, and the languages whose lexicon has it. A text is one sequence. Forward-backward
+goes through it in two levels: runs of RUN words become matrices from first to last label, which
+carry what lies before and behind to each run, and within the runs all advance together; that is
+exact, as matrix products are associative. Weights and transitions are learned together by
+Adagrad on the conditional log-likelihood, on runs spliced from texts of several languages so
+that transitions are seen.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import as_bytes, blocks, bounded, byte_class, mix, words
+from foliate.llm.shared import as_bytes, blocks, bounded, byte_class, listed, mix, words
 
 BUCKETS, RUN, AFFIXES = 1 << 16, 32, (1, 2, 3, 4)
 #: Texts of each language that training takes at most, and the longest among them in bytes.
@@ -27,7 +28,6 @@ SAMPLE, LONGEST = 300, 32 << 10
 LEXICON_TEXTS, LEXICON_SHARE = 4, 0.9
 #: Letters are ASCII letters and all bytes beyond ASCII.
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def word_features(stream, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ class Crf:
 
 
 def runs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and text of each sequence: texts are cut into equal runs of at most RUN words."""
+    """First word, length and text of each run: texts are cut into equal ones of at most RUN words."""
     size = np.diff(bounds)
     pieces = -(-size // RUN)
     doc = np.repeat(np.arange(len(size)), pieces)
@@ -102,9 +102,36 @@ def runs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, stop - begin, doc
 
 
-def forward_backward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False):
+def posteriors(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label probabilities of each word of whole texts (text i has the words bounds[i]:bounds[i + 1])."""
+    begin, length, doc = runs(bounds)
+    if not len(begin):
+        return np.zeros_like(scores, dtype=np.float64)
+    shift, k = np.exp(transitions), scores.shape[1]
+    emitted = np.exp(scores - scores.max(axis=1, keepdims=True))
+    # of each run: weights from its first to its last label
+    through = np.eye(k)[None] * emitted[begin][:, :, None]
+    for t in range(1, int(length.max())):
+        live = np.flatnonzero(length > t)
+        moved = (through[live] @ shift) * emitted[begin[live] + t][:, None, :]
+        through[live] = moved / np.maximum(moved.sum(axis=(1, 2), keepdims=True), 1e-300)
+    first = np.searchsorted(doc, np.unique(doc))
+    count = np.diff(np.append(first, len(doc)))
+    scaled = lambda v: v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+    before, behind = np.tile(np.exp(start), (len(doc), 1)), np.ones((len(doc), k))
+    for i in range(1, int(count.max())):
+        at = first[count > i] + i
+        before[at] = scaled(np.einsum("na,nab->nb", before[at - 1], through[at - 1]) @ shift)
+        at = (first + count)[count > i] - 1 - i
+        behind[at] = scaled(np.einsum("nab,nb->na", through[at + 1], behind[at + 1]) @ shift.T)
+    return forward_backward(scores, begin, length, transitions, start, entry=before, exit_=behind)
+
+
+def forward_backward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False, entry: np.ndarray | None = None, exit_: np.ndarray | None = None):
     """Label probabilities of each word; with pairs also expected transition counts, first-label
-    probabilities and the log-partition of each sequence. All sequences advance together."""
+    probabilities and the log-partition of each sequence. All sequences advance together. entry
+    and exit_: weights of each one's first label by what lies before it, and of its last by what
+    lies behind it."""
     n, k = len(begin), scores.shape[1]
     steps = int(length.max()) if n else 0
     shift = np.exp(transitions)
@@ -115,12 +142,13 @@ def forward_backward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray,
     alpha = np.zeros((steps, n, k))
     log_z = np.zeros(n)
     for t in range(steps):
-        now = (np.exp(start)[None] if t == 0 else alpha[t - 1] @ shift) * emitted[index[t]]
+        now = ((np.exp(start)[None] if entry is None else entry) if t == 0 else alpha[t - 1] @ shift) * emitted[index[t]]
         total = now.sum(axis=1, keepdims=True)
         alpha[t] = now / np.maximum(total, 1e-300)
         log_z += np.where(live[t], np.log(np.maximum(total[:, 0], 1e-300)) + top[index[t], 0], 0) if pairs else 0
     out = np.zeros_like(scores, dtype=np.float64)
-    beta = np.ones((n, k))
+    last = np.ones((n, k)) if exit_ is None else exit_
+    beta = last
     counts = np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         post = alpha[t] * beta
@@ -135,7 +163,7 @@ def forward_backward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray,
                 counts += joint[rows].sum(axis=0)
             back = onward @ shift.T
             back /= np.maximum(back.sum(axis=1, keepdims=True), 1e-300)
-            beta = np.where(rows[:, None], back, 1.0)
+            beta = np.where(rows[:, None], back, last)
     return (out, counts, log_z) if pairs else out
 
 
@@ -219,24 +247,30 @@ def held_out(key: str) -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Crf:
     """The field learned from at most ``sample`` texts of each language that are not held out: those with
-    the least hashes of their keys, among texts of at most LONGEST bytes that have a language."""
+    the least hashes of key and text, among texts of at most LONGEST bytes that have a language.
+
+    Of each language some four times as many rows are first chosen by their hashes alone, so that no task
+    sorts a whole language. Repeated rows count once.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key) & (F.octet_length(text) <= LONGEST))
-    keys = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_h"))
-    chosen = None
-    for name in [r[0] for r in known.select(lang).distinct().orderBy(lang).collect()]:
-        part = keys.where(F.col("_lang") == name).orderBy("_h", "_key").limit(sample).select("_key").distinct()
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
-        return train([])
-    rows = known.join(F.broadcast(chosen.distinct()), F.col(key) == F.col("_key")).select(key, text, lang).distinct().collect()
-    texts = [(r[1].encode(), r[2]) for r in sorted(rows)]
-    return train(texts)
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    sizes = listed(known.groupBy("lang").agg(F.count("*").alias("rows")))
+    spread = F.pmod(F.col("h"), F.lit(1 << 31)) / float(1 << 31)
+    few = known.select("lang", "h").join(sizes, "lang").where(spread * F.col("rows") < 4 * sample).select("lang", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= sample).select("lang", "h")
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    return train([(r.text.encode(), r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.h))])
+
+
+def _lettered(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def predict(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred, score, mix): the language with the greatest mean probability over a text's words,
     that mean, and the mean of each language. Texts that are null or without a letter give und, 0 and no
-    mix; equal texts have equal results; an empty table gives no rows."""
+    mix; equal texts have equal results, repeated rows are kept; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +279,7 @@ def predict(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text")
             blobs, out = as_bytes(batch.column(1)), []
             for low, high in blocks(blobs):
                 for blob, mean in zip(blobs[low:high], label_means(crf, blobs[low:high]), strict=True):
-                    if mean is None or not _LETTER.search(blob.decode()):
+                    if mean is None or not _lettered(blob.decode()):
                         out.append(("und", 0.0, []))
                     else:
                         best = int(mean.argmax())
@@ -258,14 +292,57 @@ def predict(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text")
     return made.withColumnRenamed("key", key)
 
 
+def word_labels(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, spans): the runs of words with the same most likely language, as structs (start, end, lang,
+    probability: the mean over the run's words), in code points, end exclusive.
+
+    A null text, one without words, and any text where nothing was learned have no spans; repeated rows are
+    kept; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("probability", pa.float64())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = shared.value
+        for batch in batches:
+            blobs, out = as_bytes(batch.column(1)), []
+            for low, high in blocks(blobs):
+                out += spans(crf, blobs[low:high])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kinds)], names=["key", "spans"])
+
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, spans array<struct<start: bigint, end: bigint, lang: string, probability: double>>")
+    return made.withColumnRenamed("key", key)
+
+
+def _labelled(crf: Crf, blobs: list[bytes]):
+    """The texts' words and their label probabilities."""
+    stream = words(blobs, LETTERS)
+    return stream, posteriors(crf.word_scores(stream, stream.hashes()), stream.bounds, crf.transitions, crf.start)
+
+
+def spans(crf: Crf, blobs: list[bytes]) -> list[list[dict]]:
+    """word_labels of texts."""
+    if not crf.langs:
+        return [[] for _ in blobs]
+    stream, post = _labelled(crf, blobs)
+    points = np.cumsum((stream.buffer & 0xC0) != 0x80)  # code points up to and with each byte
+    best, out, begin = post.argmax(axis=1) if len(post) else [], [], 0
+    for i, blob in enumerate(blobs):
+        a, b = int(stream.bounds[i]), int(stream.bounds[i + 1])
+        before = int(points[begin - 1]) if begin else 0
+        edges = [a, *(np.flatnonzero(best[a + 1 : b] != best[a : b - 1]) + a + 1).tolist(), b] if b > a else []
+        at = lambda byte: int(points[byte - 1]) - before if byte else 0  # noqa: B023, E731
+        out.append([{"start": at(int(stream.start[x])), "end": at(int(stream.end[y - 1])), "lang": crf.langs[int(best[x])], "probability": float(post[x:y, best[x]].mean())} for x, y in zip(edges, edges[1:], strict=False)])
+        begin += len(blob) + 1
+    return out
+
+
 def label_means(crf: Crf, blobs: list[bytes]) -> list[np.ndarray | None]:
     """Mean label probabilities of each text's words, None without words."""
     if not crf.langs:
         return [None] * len(blobs)
-    stream = words(blobs, LETTERS)
-    scores = crf.word_scores(stream, stream.hashes())
-    begin, length, _ = runs(stream.bounds)
-    post = forward_backward(scores, begin, length, crf.transitions, crf.start)
+    stream, post = _labelled(crf, blobs)
     a, b = stream.bounds[:-1], stream.bounds[1:]
     # each text's probabilities are summed for itself, so that they don't depend on its neighbours
     means = np.add.reduceat(post, a[b > a], axis=0) / (b - a)[b > a][:, None] if len(post) else []
