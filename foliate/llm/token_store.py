@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliate.llm import ranges
 from foliate.llm.files import Rolling, located, read
-from foliate.llm.shared import bounded, mix, shared_dir
+from foliate.llm.shared import bounded, held, mix, shared_dir
 
 END_ID = 1
 #: Bytes of text for one shard, about; entries of the memo of encoded pieces in each worker.
@@ -170,42 +171,25 @@ class Shard:
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), dtype=f"<u{self.width}")
 
 
-def _cuts(docs: DataFrame, key: str, text: str, shard_text: int) -> list[int]:
-    """Keys at which new shards begin, by quantiles of the keys: as many shards as the text needs."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(total.b or 0) // shard_text))
-    if shards == 1:
-        return []
-    spread = docs.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], 100_000)).first()[0]
-    return sorted(set(spread or ()))
-
-
-def _shard(key: str, cuts: list[int]):
-    """Number of the shard of a key: the cuts at or below it. Nulls are in the first shard."""
-    return F.coalesce(F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + F.when(c <= F.col(key), 1).otherwise(0)), F.lit(0)) if cuts else F.lit(0)
-
-
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", shard_text: int = SHARD_TEXT) -> list[int]:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", shard_text: int = SHARD_TEXT) -> ranges.Cuts:
     """Encodes all texts, appends END_ID to each and writes the shards below folder in ascending key
-    order, nulls first; returns the cuts between shards.
+    order, nulls first; returns the cuts between shards, which hold about shard_text bytes of text each.
 
-    A null or empty text has the end id alone. Rows that share a key stand side by side, in the
-    order of their ids. An empty table gives one manifest without shards. Keys are whole numbers.
+    A null or empty text has the end id alone. Rows that share a key stand side by side, in the order
+    of hashes of their texts; a key of many rows may go on in further shards. Other columns are not read.
+    An empty table gives one manifest without shards. Keys are whole numbers; others are an error.
     """
-    rows = bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    cuts = _cuts(rows, "key", "text", shard_text)
-    held: list[Encoder] = []
+    rows = bounded(docs).select(F.col(key).cast("long").alias("a"), F.xxhash64(F.col(text)).alias("b"), F.col(text).alias("text"))
+    cuts = ranges.cuts(rows, F.octet_length(F.coalesce("text", F.lit(""))) + 1, shard_text)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Encoder(vocabulary))
-        encoder = held[0]
+        encoder = held(("words", vocabulary), lambda: Encoder(vocabulary))
         end = np.array([END_ID], dtype=encoder.kind).tobytes()
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.slice(low, 1000)
-                ids = [encoder.text(t or "") + end for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+                ids = [encoder.text(t or "") + end for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["a", "b", "ids"])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, keys, counts, width = "", None, [], [], 2
@@ -227,9 +211,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
-    encoded = rows.mapInArrow(encode, "key long, ids binary").withColumn("shard", _shard("key", cuts)).withColumn("width", F.lit(width))
-    dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
-    dealt.mapInArrow(write, "shard long, name string, docs long, tokens long, width long").write.parquet(f"{folder}/manifest")
+    encoded = rows.mapInArrow(encode, "a long, b long, ids binary").withColumn("shard", ranges.number(F.col("a"), F.col("b"), cuts))
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("a").asc_nulls_first(), "b", "ids")
+    dealt.select("a", "ids", "shard", F.lit(width).alias("width")).mapInArrow(write, "shard long, name string, docs long, tokens long, width long").write.parquet(f"{folder}/manifest")
     return cuts
 
 
@@ -239,11 +223,12 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return shards.withColumn("base", F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens"))
 
 
-def look_up(spark: SparkSession, folder: str, cuts: list[int], keys: DataFrame, digest: bool = False) -> DataFrame:
+def look_up(spark: SparkSession, folder: str, cuts: ranges.Cuts, keys: DataFrame, digest: bool = False) -> DataFrame:
     """Rows (key, start, n_tokens, ids or ids_crc32) for each entry that the shards have under each row of
     keys (one column). Keys that no shard has give no row."""
     shards = {r.shard: (r.name, r.base, r.width) for r in manifest(spark, folder).collect()}
-    wanted = keys.toDF("key").select(F.col("key").cast("long").alias("key")).distinct().withColumn("shard", _shard("key", cuts))
+    least, most = (ranges.number(F.col("key"), F.lit(b).cast("long"), cuts) for b in (-(1 << 63), (1 << 63) - 1))
+    wanted = keys.toDF("key").select(F.col("key").cast("long").alias("key")).distinct().withColumn("shard", F.explode(F.sequence(least, most)))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, Shard] = {}

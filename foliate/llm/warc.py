@@ -12,12 +12,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.llm import ranges
 from foliate.llm.files import Rolling, located
 from foliate.llm.shared import bounded, shared_dir
 
@@ -35,18 +37,19 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def record(key: int, number: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member. number tells rows with the same key apart. Null URLs leave the target out."""
-    body = b"" if refers_to is not None else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+def record(key: int | None, place: str, url: str | None, payload: bytes, digest: str, revisit: bool = False, refers_to: str | None = None) -> bytes:
+    """One WARC/1.1 record as a gzip member. place tells rows with the same key apart. Null URLs leave the target out;
+    refers_to is the identifier of the record that a revisit stands for."""
+    body = b"" if revisit else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     headers = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:record:{key}:{number}>",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {_identifier(key, place)}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {_uri(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}",
-        *([f"WARC-Refers-To: <urn:record:{refers_to}:0>", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []),
+        *([f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {_PROFILE}"] if revisit else []),
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
@@ -55,6 +58,15 @@ def record(key: int, number: int, url: str | None, payload: bytes, digest: str,
     return packer.compress("\r\n".join(headers).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
+def _identifier(key: int | None, place: str) -> str:
+    return f"<urn:record:{'' if key is None else key}:{place}>"
+
+
+def _key(identifier: str) -> int | None:
+    part = identifier.split(":")[2]
+    return int(part) if part else None
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (names in lower case) and block of one unpacked record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -85,29 +97,27 @@ def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES, revisit_from: int = REVISIT_FROM) -> None:
     """Writes one record per row below folder, and folder/manifest (file, records, bytes, sha256).
 
-    A null payload is empty. Rows with a null key are left out; rows that share a key and payload
-    count as copies, the first of them is the response. An empty table gives an empty manifest.
-    Two narrow shuffles find the first record of each repeated payload; payloads move once, to
-    their range. A range without rows writes no file.
+    A null payload is empty. Rows that share a key and payload count as copies, the first of them (by URL)
+    is the response. Rows with a null key come first in the archives and last among copies: one of them is
+    a response only where no copy has a key. Other columns are not read. An empty table gives an empty
+    manifest. Two narrow shuffles find the first record of each repeated payload; payloads move once, to
+    their range of about range_bytes; a key of many rows may go on in further ranges.
     """
-    rows = bounded(pages).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).where("key IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-    ranges = max(1, -(-total // range_bytes))
-    cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or ())) if ranges > 1 else []
+    rows = bounded(pages).select(F.col(key).cast("long").alias("a"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("b", F.xxhash64("payload"))
+    found = ranges.cuts(rows, F.octet_length("payload") + 1, range_bytes)
 
-    prints = rows.where(F.octet_length("payload") >= revisit_from).select("key", F.unhex(F.sha1("payload")).alias("digest"))
-    repeated = prints.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = prints.join(repeated, "digest").where("key <> first").select("key", "first", "digest").distinct()
+    prints = rows.where(F.octet_length("payload") >= revisit_from).select("a", "b", F.unhex(F.sha1("payload")).alias("digest"))
+    repeated = prints.groupBy("digest").agg(F.min("a").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    known = prints.join(repeated, "digest").where("NOT a <=> first").select("a", "b", "first", "digest").distinct()
 
     none = F.lit(None)
-    marks = known.select("key", F.lit(0).alias("kind"), none.cast("string").alias("url"), F.col("digest").alias("payload"), "first")
-    both = marks.unionByName(rows.select("key", F.lit(1).alias("kind"), "url", "payload", none.cast("long").alias("first")))
-    at = F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + F.when(c <= F.col("key"), 1).otherwise(0)) if cuts else F.lit(0)
-    dealt = both.withColumn("range", at).repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("key", "kind", "payload", "url")
+    marks = known.select("a", "b", F.lit(0).alias("kind"), none.cast("string").alias("url"), F.col("digest").alias("payload"), "first")
+    both = marks.unionByName(rows.select("a", "b", F.lit(1).alias("kind"), "url", "payload", none.cast("long").alias("first")))
+    dealt = both.withColumn("range", ranges.number(F.col("a"), F.col("b"), found)).repartitionById(len(found) + 1, F.col("range")).sortWithinPartitions(F.col("a").asc_nulls_first(), "b", "kind", "payload", "url")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, part, count, sums = None, 0, 0, None
-        now, number, first, here = None, 0, {}, set()
+        now, first, here = None, {}, Counter()
         made: list[tuple] = []
 
         def close():
@@ -115,19 +125,17 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
             made.append((name, count, out.size, sums.hexdigest()))
 
         for batch in batches:
-            for key, kind, url, payload, refers, area in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
-                    now, number, first, here = key, 0, {}, set()
+            for key, hashed, kind, url, payload, refers, area in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, hashed) != now:
+                    now, first, here = (key, hashed), {}, Counter()
                 if kind == 0:
                     first[payload] = refers
                     continue
-                digest = hashlib.sha1(payload).digest()
-                to = first.get(digest)
-                if to is None and len(payload) >= revisit_from:
-                    to = key if digest in here else None
-                    here.add(digest)
-                packed = record(key, number, url, payload, base64.b32encode(digest).decode(), to)
-                number += 1
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                to, again = first.get(hashlib.sha1(payload).digest()), here[digest]
+                here[digest] += 1
+                revisit = to is not None or (again > 0 and len(payload) >= revisit_from)
+                packed = record(key, f"{digest}:{again}", url, payload, digest, revisit, _identifier(key if to is None else to, f"{digest}:0"))
                 if out is not None and out.size + len(packed) > file_bytes and count:
                     close()
                     out, part = None, part + 1
@@ -141,7 +149,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "records", "bytes", "sha256"])
 
-    dealt.select("key", "kind", "url", "payload", "first", "range").mapInArrow(write, "file string, records long, bytes long, sha256 string").write.parquet(f"{folder}/manifest")
+    dealt.select("a", "b", "kind", "url", "payload", "first", "range").mapInArrow(write, "file string, records long, bytes long, sha256 string").write.parquet(f"{folder}/manifest")
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
@@ -163,8 +171,8 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
                         intact = whole and headers["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
                         if payload is not None:
                             intact &= digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        to = headers["warc-refers-to"].split(":")[2] if revisit else None
-                        rows.append((int(headers["warc-record-id"].split(":")[2]), headers.get("warc-target-uri"), int(headers["x-payload-length"]), digest, headers["warc-type"], int(to) if to else None, intact, payload if payloads else None))
+                        to = _key(headers["warc-refers-to"]) if revisit else None
+                        rows.append((_key(headers["warc-record-id"]), headers.get("warc-target-uri"), int(headers["x-payload-length"]), digest, headers["warc-type"], to, intact, payload if payloads else None))
                         held += len(raw)
                         if held > 4 << 20:
                             yield _batch(rows)
@@ -188,5 +196,3 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     found = read_warc(spark, folder)
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
-
-

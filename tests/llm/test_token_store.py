@@ -32,8 +32,8 @@ def test_pieces_encode_as_the_library(library):
 
 @pytest.mark.parametrize("shard_text", [1 << 30, 300])
 def test_round_trip(spark, library, shard_text):
-    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts())] + [(5, "again"), (5, "again"), (5, "other"), (None, "no key"), (-3, "below")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts())] + [(5, "again"), (5, "again"), (5, "other"), (None, "no key"), (-3, "below"), (6, "long text " * 40_000), *((17, f"hot {i}") for i in range(90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS a", "'x' AS b", "2 AS ids", "3 AS shard")
     folder = shared_dir(spark, "tokens")
     cuts = ts.write_tokens(docs, folder, PATH, shard_text=shard_text)
     got = {}

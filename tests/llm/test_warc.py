@@ -1,9 +1,13 @@
 import base64
 import gzip
 import hashlib
+import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliate.llm import ranges as rg
 from foliate.llm import warc
 from foliate.llm.files import located
 from foliate.llm.shared import shared_dir
@@ -17,15 +21,21 @@ ROWS = [
     (3, "http://again", "<p>page 3 é</p>" * 3),
     (3, "http://h/3", "<p>page 3 é</p>" * 3),
     (3, "http://h/3", "other"),
+    (None, "http://none", "<p>page 4 é</p>"),
+    (None, "http://none", "only without a key"),
+    (None, "http://none", "only without a key"),
+    (None, None, None),
+    *((7, f"http://hot/{i}", f"text {i} under one key " * 9) for i in range(80)),
 ]
+ORDER = lambda r: (r[0] is None, r[0] or 0)
 
 
 def brute(rows):
     first = {}
-    for k, _, t in sorted(rows, key=lambda r: r[0]):
+    for k, _, t in sorted(rows, key=ORDER):
         first.setdefault(t or "", k)
     seen, out = set(), []
-    for k, _, t in sorted(rows, key=lambda r: r[0]):
+    for k, _, t in sorted(rows, key=ORDER):
         raw = (t or "").encode()
         fresh = (t or "") not in seen
         seen.add(t or "")
@@ -33,9 +43,27 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def test_cuts_and_numbers(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 1, 1, *range(40)]), rng.randrange(-9, 9), rng.randrange(50)) for _ in range(400)]
+    d = spark.createDataFrame(rows, "a long, b long, w int")
+    before = lambda r, c: (r[0] is not None, r[0] or 0, r[1]) < (c[0] is not None, c[0] or 0, c[1])
+    for limit, most in ((1, 1 << 16), (300, 1 << 16), (300, 7), (1 << 30, 9)):
+        found = rg.cuts(d, F.col("w"), limit, most)
+        assert found == rg.cuts(d.repartition(5), F.col("w"), limit, most) and len(found) < most
+        numbered = d.select("a", "b", "w", rg.number(F.col("a"), F.col("b"), found).alias("n")).collect()
+        assert all(r.n == sum(not before((r.a, r.b), c) for c in found) for r in numbered)
+        if limit == 300 and most > 9:
+            sums = {}
+            for r in numbered:
+                sums[r.n] = sums.get(r.n, 0) + r.w
+            assert len(found) > 10 and max(sums.values()) <= 300 + 50 * max(Counter((r.a, r.b) for r in numbered).values())
+    assert rg.cuts(d.limit(0), F.col("w"), 5) == []
+
+
 @pytest.mark.parametrize(("ranges", "files"), [(1 << 30, 1 << 30), (2000, 900)])
 def test_round_trip(spark, ranges, files):
-    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS a", "'k' AS key", "2 AS range", "3 AS payload")
     contents = []
     for _ in range(2):
         folder = shared_dir(spark, "warc")
