@@ -41,3 +41,23 @@ def span(kind: str, start: Column, end: Column, page: Column | None = None) -> C
     if kind in TEXT_MARKS:
         return F.when((start >= 0) & (start < end), F.concat(F.lit(f"{kind}:"), place))
     raise ValueError(f"no such mark: {kind}")
+
+
+#: Colours of marks without a style of their own (fixed values).
+HIGHLIGHT, LINE = "#FFE066", "#E0463C"
+
+
+def on_page(c: Column) -> Column:
+    """Whether a code is one of a page: a rectangle or a mark of page words."""
+    return F.coalesce(c.rlike("^(?:pdf|pdfh|pdfu|pdfs):"), F.lit(False))
+
+
+def style_of(kind: Column, given: Column) -> Column:
+    """The colour given, or the default of a kind of mark."""
+    return F.when(F.trim(F.coalesce(given, F.lit(""))) != "", F.trim(given)).when(kind == "highlight", HIGHLIGHT).otherwise(LINE)
+
+
+def note_fault(paper_known: Column, kind: Column, content: Column, anchor: Column) -> Column:
+    """Null where a note may be added: its paper is there, its place is right, and it has a text unless it is a mere mark."""
+    blank = F.trim(F.coalesce(content, F.lit(""))) == ""
+    return F.when(~paper_known, "paper").when(kind.isin("paragraph", "comment") & blank, "content").when((kind != "paragraph") & anchor.isNull(), "anchor")

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as text processing outside the JVM sees it (fixed values): ASCII, information separators, NEL, NBSP and Unicode spaces.
 BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Codes of faults; others have the code 1 (fixed values).
+ERROR_CODES = {"missing": 2, "invalid": 3, "parse": 4, "db": 5, "space": 6, "duplicate": 7, "permission": 8, "model": 9}
+KEYWORDS_AT_MOST = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SENTENCE_ENDS = "。！？!?.；;"
+#: Ends of sentences; the ASCII stop is none, as abbreviations have it (fixed values).
+SENTENCE_ENDS = "。！？!?”’"
 
 
 def strip(c: Column) -> Column:
@@ -126,3 +130,59 @@ def clamped(c: Column, low: int, high: int, default: int) -> Column:
 def json_list(c: Column) -> Column:
     """A JSON array of strings; anything else is empty."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def json_map(c: Column) -> Column:
+    """A JSON object of strings; anything else is empty."""
+    return F.coalesce(F.from_json(F.when(F.try_parse_json(c).isNotNull(), c), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def without_key(c: Column, key: str) -> Column:
+    """JSON text of an object without a key; text that is no JSON stays."""
+    return F.when(F.try_parse_json(c).isNull(), c).otherwise(F.to_json(F.map_filter(json_map(c), lambda k, _: k != key)))
+
+
+def relative_path(c: Column, base: str) -> Column:
+    """A path below base without it, with slashes."""
+    slashed = F.replace(c, F.lit("\\"), F.lit("/"))
+    return F.when(slashed.startswith(base.rstrip("/") + "/"), F.substring(slashed, len(base.rstrip("/")) + 2, 1 << 30)).otherwise(slashed)
+
+
+def absolute_path(c: Column, base: str) -> Column:
+    """A path that isn't absolute, below base."""
+    return F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
+
+
+def error_code(fault: Column) -> Column:
+    out = F.lit(1)
+    for name, code in ERROR_CODES.items():
+        out = F.when(fault == name, code).otherwise(out)
+    return out
+
+
+def percent(part: Column, total: Column) -> Column:
+    """With one decimal; 0 of nothing."""
+    return F.when(total == 0, 0.0).otherwise(F.round(100.0 * part / total, 1))
+
+
+def slices(items: Column, size: int) -> Column:
+    """An array cut into arrays of at most ``size`` items."""
+    if size <= 0:
+        raise ValueError("slices need a size above 0")
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
+
+
+def overridden(base: Column, over: Column) -> Column:
+    """A map with the values of another for the keys that both have."""
+    return F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e["key"], F.coalesce(F.element_at(over, e["key"]), e["value"]))))
+
+
+def clean_keywords(words: Column) -> Column:
+    """Stripped words that aren't blank, at most KEYWORDS_AT_MOST."""
+    return F.slice(F.filter(F.transform(words, strip), lambda w: F.coalesce(w != "", F.lit(False))), 1, KEYWORDS_AT_MOST)
+
+
+def asked_only(parsed: Column, asked: Column) -> Column:
+    """Of a map of texts, those that are asked for and not blank."""
+    return F.map_filter(parsed, lambda k, v: F.array_contains(asked, k) & ~is_blank(v))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
+from foliate.operators import cleaning as cl
 
 #: Dimensions in their order, with the headings that open them (fixed values; spaces may stand where \s* is).
 HEADINGS = {
@@ -22,6 +23,11 @@ _NUMBERING = r"(?:[0-9一二三四五六七八九十]+[.、\s]*)?"
 HEADING_LENGTH, LOCAL_LENGTH, RATIO, JACCARD, SOURCE_SHARE, UNION_SHARE, COMMON = 30, 30, 3.0, 0.12, 0.15, 0.35, 3
 #: A text below this is short; headings from which it is dense; keywords of short and other texts (fixed values).
 SHORT, DENSE, KEYWORDS_SHORT, KEYWORDS = 1500, 6, 10, 20
+#: Texts beyond which a word counts as common.
+COMMON_WORD = 10_000
+#: Words in the first characters of a text that tell its kind, and lines that count as headings in a profile (fixed values).
+SURVEY, EXPERIMENT = ("综述", "研究进展", "文献综述", "review", "survey"), ("实验", "数据集", "消融", "experiment", "实证")
+MARKED_LINE = r"^\s*(?:第?\s*[0-9一二三四五六七八九十]+\s*[章节、.．]|[0-9]+(?:\.[0-9]+)*\s+\S|摘要|引言|前言|绪论|背景|方法|实验|结论|讨论|参考文献|相关工作|abstract|introduction|related work|method|experiment|conclusion|reference)"
 
 
 def heading(line: Column) -> Column:
@@ -38,18 +44,23 @@ def numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.posexplode(tx.lines(F.col(text))).alias("line_no", "line"))
 
 
+def opened(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, lines, opens): the lines of a text, and structs (line, dimension) of the first heading of each dimension, in
+    the order of lines. Lines stay in their row: no shuffle."""
+    split = docs.select(key, tx.lines(F.col(text)).alias("lines"))
+    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), heading(tx.strip(x)).alias("dimension"))), lambda h: h["dimension"].isNotNull())
+    headed = split.withColumn("heads", found)
+    first = F.filter("heads", lambda h, i: ~F.exists(F.slice("heads", F.lit(1), i), lambda b: b["dimension"] == h["dimension"]))
+    return headed.select(key, "lines", first.alias("opens"))
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, dimension, first_line, end_line, content): the first heading of each dimension opens its section,
     which ends before the next opening heading."""
-    rows = numbered_lines(docs, key, text).withColumn("dimension", heading(tx.strip(F.col("line"))))
-    per_doc = Window.partitionBy(key)
-    first = F.row_number().over(Window.partitionBy(key, "dimension").orderBy("line_no")) == 1
-    marked = rows.withColumn("opens", F.when(F.col("dimension").isNotNull() & first, F.col("dimension")))
-    running = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.withColumn("owner", F.last("opens", ignorenulls=True).over(running)).withColumn("total", F.count("*").over(per_doc)).where("owner IS NOT NULL")
-    body = F.array_sort(F.collect_list(F.when(F.col("opens").isNull(), F.struct("line_no", "line"))))
-    made = owned.groupBy(key, F.col("owner").alias("dimension")).agg((F.min("line_no") + 1).alias("first_line"), (F.max("line_no") + 1).alias("end_line"), tx.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"))
-    return made
+    at = opened(docs, key, text)
+    bounded = F.transform("opens", lambda h, i: F.struct(h["dimension"].alias("dimension"), (h["line"] + 1).alias("first_line"), F.coalesce(F.get("opens", i + 1)["line"], F.size("lines")).alias("end_line")))
+    each = at.select(key, "lines", F.explode(bounded).alias("s")).select(key, "s.*", F.array_join(F.slice("lines", F.col("s.first_line") + 1, F.greatest(F.col("s.end_line") - F.col("s.first_line"), F.lit(0))), "\n").alias("raw"))
+    return each.select(key, "dimension", "first_line", "end_line", cl.section_text(F.col("dimension"), F.col("raw")).alias("content"))
 
 
 def paragraph_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,14 +84,19 @@ def frequent_words(docs: DataFrame, most: int, key: str = "doc_id", text: str =
 
 
 def weighted_words(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The words of greatest tf * (ln((1 + N) / (1 + df)) + 1), ties by word. Document counts join by word once."""
+    """The words of greatest tf * (ln((1 + N) / (1 + df)) + 1), ties by word. Words of more than COMMON_WORD texts, of
+    which there are at most the corpus's words / COMMON_WORD, don't join by word."""
     counts = word_counts(docs, key, text)
     in_docs = counts.groupBy("word").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
-    size = counts.groupBy(key).agg(F.sum("n").alias("size"))
-    scored = counts.join(in_docs, "word").join(size, key).join(F.broadcast(total))
-    weight = F.col("n") / F.col("size") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "word"))
+    # a word of very many texts has a row for each on one side of the join by word: those few words go to all tasks instead
+    common = F.broadcast(in_docs.where(F.col("df") > COMMON_WORD).withColumnRenamed("df", "_common"))
+    told = counts.join(common, "word", "left")
+    rare = told.where("_common IS NULL").join(in_docs.where(F.col("df") <= COMMON_WORD), "word").drop("_common")
+    scored = rare.unionByName(told.where("_common IS NOT NULL").withColumnRenamed("_common", "df")).join(F.broadcast(total))
+    own = Window.partitionBy(key)
+    weight = F.col("n") / F.sum("n").over(own) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
+    place = F.row_number().over(own.orderBy(F.desc(F.round("weight", 9)), "word"))
     return scored.withColumn("weight", weight).withColumn("place", place).where(F.col("place") <= most).select(key, "word", "weight", "place")
 
 
@@ -110,10 +126,10 @@ def traceable(draft: Column, anchors: Column, paragraphs: Column) -> Column:
 
 def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Length, heading lines, whether they are dense, kind of text, and how many keywords it gets."""
-    marked = F.size(F.filter(tx.lines(F.col(text)), lambda x: x.rlike(r"(?iu)^\s*(?:第?\s*[0-9一二三四五六七八九十]+\s*[章节、.．]|[0-9]+(?:\.[0-9]+)*\s+\S|摘要|引言|前言|绪论|背景|方法|实验|结论|讨论|参考文献|相关工作|abstract|introduction|related work|method|experiment|conclusion|reference)")))
+    marked = F.size(F.filter(tx.lines(F.col(text)), lambda x: x.rlike(f"(?iu){MARKED_LINE}")))
     head = F.lower(F.left(F.col(text), F.lit(600)))
     n = F.length(F.coalesce(F.col(text), F.lit("")))
-    kind = F.when(n < SHORT, "short").when(head.rlike("综述|survey|review"), "survey").when(head.rlike("实验|experiment"), "experimental").otherwise("standard")
+    kind = F.when(n < SHORT, "short_paper").when(head.rlike("|".join(SURVEY)), "survey").when(head.rlike("|".join(EXPERIMENT)), "experimental").otherwise("standard")
     return docs.select(key, n.alias("chars"), marked.alias("headings"), (marked >= DENSE).alias("dense"), kind.alias("kind"), F.when(n < SHORT, KEYWORDS_SHORT).otherwise(KEYWORDS).alias("keywords"))
 
 
@@ -188,3 +204,59 @@ def marked(text: Column, numbers: Column) -> Column:
     parts = tx.paragraphs(text)
     valid = F.array_sort(F.array_distinct(F.filter(numbers, lambda i: (i >= 0) & (i < F.size(parts)))))
     return F.array_join(F.transform(valid, lambda i: F.concat(F.lit("【段落"), i.cast("string"), F.lit("】"), F.get(parts, i))), "\n\n")
+
+
+def unresolved(*sets: Column) -> Column:
+    """Dimensions that some check has named, sorted."""
+    return F.array_sort(F.array_distinct(F.concat(*sets)))
+
+
+def trusted_original(read: Column, failed: Column, drafts: Column, enabled: Column, local: Column) -> Column:
+    """Whether an original was read without a failure and every enabled dimension that isn't filled locally has a draft."""
+    asked = F.array_except(enabled, local)
+    return read & ~failed & F.forall(asked, lambda d: ~tx.is_blank(F.element_at(drafts, d)))
+
+
+def fields_by_switches(parsed: Column, switches: Column) -> Column:
+    """A map of texts with the empty one where a dimension is switched off."""
+    return F.transform_values(parsed, lambda k, v: F.when(F.coalesce(F.element_at(switches, k), F.lit(True)), F.coalesce(v, F.lit(""))).otherwise(""))
+
+
+def refine_paragraphs(dimensions: Column, paragraphs: Column) -> Column:
+    """Numbers of the paragraphs to read again: of dimensions (local, anchors) that all have both, the anchored ones; else all."""
+    whole = (F.size(dimensions) > 0) & F.forall(dimensions, lambda d: ~tx.is_blank(d["local"]) & (F.size(d["anchors"]) > 0))
+    anchored = F.array_sort(F.array_distinct(F.flatten(F.transform(dimensions, lambda d: d["anchors"]))))
+    every = F.when(paragraphs > 0, F.sequence(F.lit(0), paragraphs - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(whole, F.filter(anchored, lambda i: (i >= 0) & (i < paragraphs))).otherwise(every)
+
+
+def with_page_texts(text: Column, scanned: Column, pages: Column, tables: Column) -> Column:
+    """A document's text with what was read from its pages and tables; a scanned one has no text of its own."""
+    parts = F.concat(F.when(scanned, F.array().cast("array<string>")).otherwise(F.array(text)), pages, tables)
+    return F.array_join(F.filter(F.transform(parts, tx.strip), lambda p: F.coalesce(p != "", F.lit(False))), "\n\n")
+
+
+#: Characters from which a page has a text layer, share of such pages without one that makes a scan, share of a page
+#: that is pictures, and pages that are looked at (fixed values).
+TEXT_LAYER, SCANNED, PICTURES, SAMPLED = 20, 0.8, 0.25, 5
+
+
+def is_scanned(chars: Column) -> Column:
+    """Aggregate: whether most pages of a document have no text layer."""
+    return F.avg((chars < TEXT_LAYER).cast("double")) >= SCANNED
+
+
+def page_profiles(pages: DataFrame) -> DataFrame:
+    """Over the first pages (doc, page from 1, chars, image_ratio, tables, gutter) of documents: rows (doc, scanned,
+    figure_pages, table_pages, gutter: the mean of the pages in two columns, null without one)."""
+    return pages.where(F.col("page") <= SAMPLED).groupBy("doc").agg(
+        is_scanned(F.col("chars")).alias("scanned"),
+        F.count_if(F.col("image_ratio") >= PICTURES).alias("figure_pages"),
+        F.count_if(F.col("tables") > 0).alias("table_pages"),
+        F.round(F.avg("gutter"), 3).alias("gutter"),
+    )
+
+
+def labelled_chunks(parts: Column) -> Column:
+    """What was made of each chunk of a text, under its number, in order."""
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("【片段"), (i + 1).cast("string"), F.lit("/"), F.size(parts).cast("string"), F.lit("】\n"), p)), "\n\n")

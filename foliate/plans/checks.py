@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
+from foliate.operators import cleaning as cl
 from foliate.operators import report as rp
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
-from foliate.plans.documents import _LINES, _SECTIONED, _docs, _sectioned
+from foliate.plans.documents import _GLUE, _LINES, _SECTIONED, _docs, _sectioned
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources.bridge import with_views
 
 
-@query("flt11_rules_by_subject", "SELECT lang, count(*) AS n FROM documents WHERE source = 'src3' GROUP BY lang")
-def flt11(spark, sf_dir):
-    return _docs(spark, sf_dir).where("source = 'src3'").groupBy("lang").agg(F.count("*").alias("n"))
-
-
 @query("flt15_report_views", with_views("SELECT r.id, r.version, lib.title, lib.author, lib.publish_time, 'a|b' AS keywords FROM report r JOIN lib ON lib.id = r.lit_id", "report", "lib"))
 def flt15(spark, sf_dir):
     words = tx.json_list(F.when(F.col("version") >= 0, '["a", "b"]'))
@@ -41,13 +37,6 @@ def jn06(spark, sf_dir):
     return br.bindings(spark, sf_dir).where("lit_id = 28").join(names, "tag_id").select("id", "tag_name").orderBy("id")
 
 
-@query("jn09_rule_chain", with_views("SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 10 + id % 4 END, CASE WHEN id % 3 = 1 THEN 2 END, 1) AS rule_id FROM lib", "lib"))
-def jn09(spark, sf_dir):
-    given = F.when(F.col("id") % 3 == 0, 10 + F.col("id") % 4)
-    configured = F.when(F.col("id") % 3 == 1, 2)
-    return br.library(spark, sf_dir).select("id", F.coalesce(given, configured, F.lit(1)).cast("long").alias("rule_id"))
-
-
 @query("jn13_cited_paragraphs", f"SELECT d.doc_id, d.anchor, l.line IS NOT NULL AS found, trim(coalesce(l.line, '')) AS paragraph FROM (SELECT doc_id, doc_id % 5 AS anchor FROM documents UNION ALL SELECT doc_id, 99 FROM documents) d LEFT JOIN (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS p FROM ({_LINES}) WHERE trim(line) <> '') l ON l.doc_id = d.doc_id AND l.p = d.anchor")
 def jn13(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
@@ -55,37 +44,32 @@ def jn13(spark, sf_dir):
     return st.cited_paragraphs(asked, docs).select("doc_id", "anchor", F.col("paragraph").isNotNull().alias("found"), F.coalesce("paragraph", F.lit("")).alias("paragraph"))
 
 
-@query("jn14_section_paragraphs")
+@query("jn14_section_paragraphs", f"WITH {_SECTIONED} SELECT DISTINCT doc_id, dimension, CAST(floor(line_no / 3) AS INT) AS paragraph FROM lined JOIN dims ON d = CAST(least(floor(line_no / 3), 4) AS INT)")
 def jn14(spark, sf_dir):
     spaced = _sectioned(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\n(?=Abstract|Methods|Innovations|Conclusions|References)", "\n\n"))
     return st.section_paragraphs(spaced)
 
 
-@query("agg13_tag_use", with_views("SELECT tag_id, count(DISTINCT lit_id) AS papers, min(lit_id) AS first, max(lit_id) AS last FROM bind GROUP BY tag_id", "bind"))
-def agg13(spark, sf_dir):
-    return br.bindings(spark, sf_dir).groupBy("tag_id").agg(F.countDistinct("lit_id").alias("papers"), F.min("lit_id").alias("first"), F.max("lit_id").alias("last"))
-
-
-@query("agg15_scanned_documents", "SELECT l_orderkey, avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned FROM lineitem GROUP BY l_orderkey")
-def agg15(spark, sf_dir):
-    return br.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.avg((F.col("l_quantity") > 25).cast("double")) >= 0.8).alias("scanned"))
-
-
 @query("win04_line_ordinals", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS ordinal FROM ({_LINES}) WHERE trim(line) <> ''")
 def win04(spark, sf_dir):
     rows = F.filter(F.transform(tx.lines(F.col("text")), lambda x, i: F.struct(i.alias("n"), tx.strip(x).alias("s"))), lambda r: r["s"] != "")
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(rows).alias("ordinal", "r")).select("doc_id", F.col("r.n").alias("line_no"), "ordinal")
 
 
-@query("win07_section_bounds", f"WITH {_SECTIONED} SELECT doc_id, count(*) AS sections FROM secs GROUP BY doc_id")
+@query("win07_section_bounds", f"WITH {_SECTIONED} SELECT doc_id, dimension, CAST(head_at + 1 AS BIGINT) AS first_line, CAST(coalesce(lead(head_at) OVER (PARTITION BY doc_id ORDER BY d), total) AS BIGINT) AS end_line FROM open JOIN dims USING (dimension, d)")
 def win07(spark, sf_dir):
-    found = st.sections(_sectioned(spark, sf_dir)).where("end_line >= first_line")
-    return found.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    return st.sections(_sectioned(spark, sf_dir)).select("doc_id", "dimension", F.col("first_line").cast("long").alias("first_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query("win08_first_hits", f"WITH {_SECTIONED} SELECT doc_id, dimension, CAST(head_at AS BIGINT) AS line_no FROM open")
+def win08(spark, sf_dir):
+    return st.opened(_sectioned(spark, sf_dir)).select("doc_id", F.explode("opens").alias("h")).select("doc_id", "h.dimension", F.col("h.line").cast("long").alias("line_no"))
 
 
-@query("str06_section_text", "SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY line_no) AS items FROM (" + _LINES + ") WHERE trim(line) <> '' GROUP BY doc_id")
+@query("str06_section_text", f"WITH p AS (SELECT doc_id, line_no, trim(line) AS line FROM ({_LINES})), g AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM p WHERE line <> '') SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS items, string_agg({_GLUE} || line, '' ORDER BY line_no) AS joined FROM g GROUP BY doc_id")
 def str06(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(tx.line_paragraphs(F.col("text")), "\n").alias("items")).where("items <> ''")
+    of = lambda d: cl.section_text(F.lit(d), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", of("reference_list").alias("items"), of("core_view").alias("joined")).where("items <> ''")
 
 
 @query("str16_marked_paragraphs", f"SELECT doc_id, string_agg('【段落' || p || '】' || trim(line), chr(10) || chr(10) ORDER BY p) AS shown FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS p FROM ({_LINES}) WHERE trim(line) <> '') WHERE p IN (0, 2) GROUP BY doc_id")

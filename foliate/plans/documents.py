@@ -34,17 +34,24 @@ def _sectioned(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "lang", F.array_join(lined, "\n").alias("text"))
 
 
-_SECTIONED = f"""lined AS ({_LINES}), made AS (SELECT doc_id, ['research_background', 'research_method', 'innovation_point', 'research_conclusion', 'reference_list'][1 + CAST(floor(line_no / 3) AS INT)] AS dimension,
- line_no, line FROM lined WHERE line_no < 15), tail AS (SELECT doc_id, 'reference_list' AS dimension, line_no, CASE WHEN line_no % 3 = 0 THEN ['Abstract', 'Methods', 'Innovations', 'Conclusions', 'References'][1 + CAST(floor(line_no / 3) AS INT) % 5] || chr(10) || line ELSE line END AS line FROM lined WHERE line_no >= 15),
- secs AS (SELECT doc_id, dimension, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(10) || chr(9)) AS content FROM (SELECT * FROM made UNION ALL SELECT * FROM tail) GROUP BY doc_id, dimension)"""
+#: Ends and beginnings that keep lines apart when wrapped lines are joined.
+_GLUE = r"""CASE WHEN before IS NULL THEN '' WHEN regexp_matches(right(before, 1), '[。！？!?”’：:]') OR regexp_matches(line, '^\s*(?:\[\s*\d+\s*\]|\(\s*\d+\s*\)|（\s*\d+\s*）|\d+\s*[.、)]|[▪•·*-]\s+)') THEN chr(10)
+ WHEN regexp_matches(right(before, 1), '[A-Za-z0-9]') AND regexp_matches(left(line, 1), '[A-Za-z0-9]') THEN ' ' ELSE '' END"""
+_SECTIONED = f"""lined AS ({_LINES}), dims AS (SELECT unnest(['research_background', 'research_method', 'innovation_point', 'research_conclusion', 'reference_list']) AS dimension, unnest(['Abstract', 'Methods', 'Innovations', 'Conclusions', 'References']) AS title, unnest(range(5)) AS d),
+ open AS (SELECT doc_id, dimension, d, line_no + d AS head_at, total FROM lined JOIN dims ON line_no = 3 * d JOIN (SELECT doc_id, max(line_no + CAST(floor(line_no / 3) AS INT) + 2) AS total FROM lined GROUP BY doc_id) USING (doc_id)),
+ parts AS (SELECT doc_id, CAST(least(floor(line_no / 3), 4) AS INT) AS d, line_no, trim(line, ' ' || chr(9)) AS line FROM lined),
+ glued AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, d ORDER BY line_no) AS before FROM parts WHERE line <> '' AND d < 4),
+ texts AS (SELECT doc_id, d, string_agg({_GLUE} || line, '' ORDER BY line_no) AS content FROM glued GROUP BY doc_id, d
+ UNION ALL SELECT doc_id, 4, string_agg(CASE WHEN line_no >= 15 AND line_no % 3 = 0 THEN title || CASE WHEN line = '' THEN '' ELSE chr(10) END ELSE '' END || line, chr(10) ORDER BY line_no) FROM parts JOIN dims ON dims.d = CAST(floor(line_no / 3) AS INT) % 5 WHERE parts.d = 4 AND (line <> '' OR line_no % 3 = 0) GROUP BY doc_id),
+ secs AS (SELECT open.doc_id, dimension, coalesce(content, '') AS content FROM open LEFT JOIN texts ON texts.doc_id = open.doc_id AND texts.d = open.d)"""
 
 
 # strings
 
 
-@query("str01_escape_like", "SELECT doc_id, replace(replace(replace(substring(text, 1, 200) || '50%_a' || chr(92), chr(92), chr(92) || chr(92)), '%', chr(92) || '%'), '_', chr(92) || '_') AS pattern FROM documents")
+@query("str01_escape_like", "SELECT doc_id, replace(replace(replace(text || '50%_a' || chr(92), chr(92), chr(92) || chr(92)), '%', chr(92) || '%'), '_', chr(92) || '_') AS pattern FROM documents")
 def str01(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.escape_like(F.concat(F.substring("text", 1, 200), F.lit("50%_a\\"))).alias("pattern"))
+    return _docs(spark, sf_dir).select("doc_id", tx.escape_like(F.concat(F.col("text"), F.lit("50%_a\\"))).alias("pattern"))
 
 
 @query("str04_line_paragraphs", f"SELECT doc_id, count(*) AS n, sum(length(trim(line)))::BIGINT AS chars FROM ({_LINES}) WHERE trim(line) <> '' GROUP BY doc_id")
@@ -62,7 +69,7 @@ def str05(spark, sf_dir):
 @query(
     "str08_truncate",
     """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN cut - 1 >= 60 THEN trim(substring(text, 1, cut), ' ' || chr(10)) ELSE trim(substring(text, 1, 120), ' ' || chr(10)) END AS short
- FROM (SELECT *, 120 - length(regexp_extract(reverse(substring(text, 1, 120)), '^[^.!?;' || chr(10) || ']*')) AS cut FROM documents)""",
+ FROM (SELECT *, 120 - length(regexp_extract(reverse(substring(text, 1, 120)), '^[^。！？!?”’' || chr(10) || ']*')) AS cut FROM documents)""",
 )
 def str08(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.truncate_at_sentence(F.col("text"), 120).alias("short"))
@@ -76,8 +83,8 @@ def str15(spark, sf_dir):
 
 @query(
     "str17_markdown_table",
-    """SELECT l_orderkey, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' |', chr(10) ORDER BY l_linenumber, l_partkey) AS markdown
- FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY l_orderkey""",
+    """SELECT l_orderkey, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' |', chr(10) ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS markdown
+ FROM lineitem GROUP BY l_orderkey""",
 )
 def str17(spark, sf_dir):
     rows = br.table(spark, sf_dir, "lineitem")
@@ -173,10 +180,10 @@ def win06(spark, sf_dir):
     return st.paragraph_spans(_docs(spark, sf_dir).withColumn("text", gaps)).select("doc_id", "paragraph", "first_line", "last_line")
 
 
-@query("doc01_headings", "SELECT doc_id, least(CAST(ceil((length(text) - length(replace(text, chr(10), '')) + 1) / 3.0) AS BIGINT), 5) AS n FROM documents WHERE text <> ''")
+@query("doc01_headings", f"WITH {_SECTIONED} SELECT doc_id, CAST(line_no + floor(line_no / 3) AS BIGINT) AS line_no, dimension FROM lined JOIN dims ON line_no % 3 = 0 AND d = CAST(floor(line_no / 3) AS INT) % 5")
 def doc01(spark, sf_dir):
-    rows = st.numbered_lines(_sectioned(spark, sf_dir))
-    return rows.groupBy("doc_id").agg(F.countDistinct(st.heading(tx.strip(F.col("line")))).alias("n")).where("n > 0")
+    rows = st.numbered_lines(_sectioned(spark, sf_dir)).withColumn("dimension", st.heading(tx.strip(F.col("line"))))
+    return rows.where("dimension IS NOT NULL").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "dimension")
 
 
 @query("doc02_sections", f"WITH {_SECTIONED} SELECT doc_id, dimension, content FROM secs")
@@ -184,25 +191,31 @@ def doc02(spark, sf_dir):
     return st.sections(_sectioned(spark, sf_dir)).select("doc_id", "dimension", "content")
 
 
-@query("doc05_profile")
+_WHOLE = f"WITH {_SECTIONED}, whole AS (SELECT doc_id, string_agg(CASE WHEN line_no % 3 = 0 THEN title || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no) AS text FROM lined JOIN dims ON d = CAST(floor(line_no / 3) AS INT) % 5 GROUP BY doc_id)"
+
+
+@query("doc05_profile", f"{_WHOLE} SELECT doc_id, length(text) AS chars, h AS headings, h >= 6 AS dense, CASE WHEN length(text) < 1500 THEN 'short_paper' WHEN regexp_matches(lower(left(text, 600)), '综述|研究进展|review|survey') THEN 'survey' WHEN regexp_matches(lower(left(text, 600)), '实验|数据集|消融|experiment|实证') THEN 'experimental' ELSE 'standard' END AS kind, CASE WHEN length(text) < 1500 THEN 10 ELSE 20 END AS keywords FROM (SELECT *, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i){st.MARKED_LINE}'))) AS h FROM whole)")
 def doc05(spark, sf_dir):
     return st.profile(_sectioned(spark, sf_dir))
 
 
-@query("doc06_missing_dimensions", f"WITH {_SECTIONED}, dims AS (SELECT unnest(['research_background', 'core_view', 'research_method', 'innovation_point', 'research_conclusion', 'reference_list']) AS dimension, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i) SELECT d.doc_id, string_agg(dims.dimension, '|' ORDER BY i) AS missing FROM (SELECT doc_id FROM documents WHERE text <> '') d CROSS JOIN dims LEFT JOIN secs ON secs.doc_id = d.doc_id AND secs.dimension = dims.dimension AND content <> '' WHERE secs.doc_id IS NULL GROUP BY d.doc_id")
+@query("doc06_missing_dimensions", f"WITH {_SECTIONED}, alldims AS (SELECT unnest(['research_background', 'core_view', 'research_method', 'innovation_point', 'research_conclusion', 'reference_list']) AS dimension, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i) SELECT d.doc_id, string_agg(alldims.dimension, '|' ORDER BY i) AS missing FROM (SELECT doc_id FROM documents WHERE text <> '') d CROSS JOIN alldims LEFT JOIN secs ON secs.doc_id = d.doc_id AND secs.dimension = alldims.dimension AND content <> '' WHERE secs.doc_id IS NULL GROUP BY d.doc_id")
 def doc06(spark, sf_dir):
     there = st.sections(_sectioned(spark, sf_dir)).groupBy("doc_id").agg(F.collect_set(F.when(~tx.is_blank(F.col("content")), F.col("dimension"))).alias("have"))
     return there.select("doc_id", F.array_join(F.array_except(F.array(*map(F.lit, st.DIMENSIONS)), "have"), "|").alias("missing"))
 
 
-@query("doc07_consistency")
+_SET = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9ß-öø-ɏ]{{2,}}'))"
+
+
+@query("doc07_consistency", f"SELECT doc_id, a >= 30 AND b > 0 AND greatest(a, b) / greatest(least(a, b), 1) > 3 AND (CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) < 0.12 AS inconsistent FROM (SELECT p.doc_id, length(p.text) AS a, length(q.text) AS b, {_SET('p.text')} AS x, {_SET('q.text')} AS y FROM documents p JOIN documents q ON q.doc_id = p.doc_id + 1)")
 def doc07(spark, sf_dir):
     own = _docs(spark, sf_dir).select("doc_id", "text")
     other = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("draft"))
     return own.join(other, "doc_id").select("doc_id", st.inconsistent(F.col("text"), F.col("draft")).alias("inconsistent"))
 
 
-@query("doc08_traceability")
+@query("doc08_traceability", f"SELECT doc_id, len(list_filter(anchors, lambda i: i >= len(parts))) = 0 AND (len(list_filter(cited, lambda p: len(p) > 0 AND len(list_intersect(words, p)) >= 0.15 * len(p))) > 0 OR (common >= 3 AND common >= 0.35 * len(words) AND len(words) > 0)) AS traceable FROM (SELECT *, len(list_intersect(words, list_distinct(flatten(cited)))) AS common FROM (SELECT *, list_transform(list_filter(anchors, lambda i: i < len(parts)), lambda i: {_SET('parts[i + 1]')}) AS cited, {_SET("concat_ws(' ', parts[1], 'and something else')")} AS words FROM (SELECT doc_id, [CASE WHEN doc_id % 5 = 0 THEN 999 ELSE 0 END, doc_id % 2] AS anchors, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)))")
 def doc08(spark, sf_dir):
     parts = tx.line_paragraphs(F.col("text"))
     draft = F.concat_ws(" ", F.get(parts, F.lit(0)), F.lit("and something else"))
@@ -210,14 +223,19 @@ def doc08(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", st.traceable(draft, anchors, parts).alias("traceable"))
 
 
-@query("doc10_merged_report")
+@query("doc10_merged_report", f"""WITH {_SECTIONED} SELECT doc_id, max(CASE WHEN dimension = 'research_background' THEN t END) AS research_background, max(CASE WHEN dimension = 'core_view' THEN t END) AS core_view, max(CASE WHEN dimension = 'research_method' THEN t END) AS research_method, max(CASE WHEN dimension = 'innovation_point' THEN t END) AS innovation_point, max(CASE WHEN dimension = 'research_conclusion' THEN t END) AS research_conclusion, max(CASE WHEN dimension = 'reference_list' THEN t END) AS reference_list
+ FROM (SELECT doc_id, dimension, CASE WHEN dimension = 'innovation_point' THEN '' WHEN doc_id % 4 = 0 AND trim(content) <> '' THEN content WHEN dimension = 'reference_list' THEN coalesce(nullif(content, ''), draft, '') ELSE coalesce(draft, content) END AS t
+ FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Draft: ' || left(content, 80) END AS draft FROM secs)) GROUP BY doc_id""")
 def doc10(spark, sf_dir):
     found = st.sections(_sectioned(spark, sf_dir)).select("doc_id", "dimension", F.col("content").alias("local"))
     drafts = found.withColumn("draft", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Draft: "), F.left("local", F.lit(80)))))
     return st.merged_report(drafts.withColumn("enabled", F.col("dimension") != "innovation_point").withColumn("resolved", F.col("doc_id") % 4 != 0))
 
 
-@query("doc16_local_report")
+@query("doc16_local_report", f"""{_WHOLE}, words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place, most FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9ß-öø-ɏ]{{{{2,}}}}') AS w, CASE WHEN length(text) < 1500 THEN 10 ELSE 20 END AS most FROM whole)),
+ ranked AS (SELECT doc_id, word, most, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(place)) AS k FROM words GROUP BY doc_id, word, most),
+ keys AS (SELECT doc_id, string_agg(word, '、' ORDER BY k) AS keywords FROM ranked WHERE k <= most GROUP BY doc_id)
+ SELECT s.*, keywords FROM (SELECT doc_id, coalesce(max(CASE WHEN dimension = 'research_background' THEN content END), '') AS research_background, coalesce(max(CASE WHEN dimension = 'core_view' THEN content END), '') AS core_view, coalesce(max(CASE WHEN dimension = 'research_method' THEN content END), '') AS research_method, coalesce(max(CASE WHEN dimension = 'innovation_point' THEN content END), '') AS innovation_point, coalesce(max(CASE WHEN dimension = 'research_conclusion' THEN content END), '') AS research_conclusion, coalesce(max(CASE WHEN dimension = 'reference_list' THEN content END), '') AS reference_list FROM secs GROUP BY doc_id) s LEFT JOIN keys ON keys.doc_id = s.doc_id""".replace("{{2,}}", "{2,}"))
 def doc16(spark, sf_dir):
     """Sections of every text with its keywords: the report that needs no model."""
     docs = _sectioned(spark, sf_dir)
@@ -268,7 +286,7 @@ def _boxes(spark, sf_dir) -> DataFrame:
     )
 
 
-_BOXES = "SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS pos, CAST(l_quantity * 8.0 AS DOUBLE) AS x0, CAST(l_quantity * 8.0 + 30 AS DOUBLE) AS x1, CAST(l_linenumber * 5.0 AS DOUBLE) AS top, 'w' || l_partkey AS text FROM lineitem WHERE l_orderkey < 4000"
+_BOXES = "SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS pos, CAST(l_quantity * 8.0 AS DOUBLE) AS x0, CAST(l_quantity * 8.0 + 30 AS DOUBLE) AS x1, CAST(l_linenumber * 5.0 AS DOUBLE) AS top, 'w' || l_partkey AS text FROM lineitem"
 
 
 @query("anc08_words_in_rectangle", f"SELECT page, min(pos) AS first, max(pos) AS last FROM ({_BOXES}) WHERE x0 <= 200 AND x1 >= 50 AND top <= 20 AND top + 4 >= 8 GROUP BY page")
@@ -290,14 +308,18 @@ def anc11(spark, sf_dir):
 # layout
 
 
-@query("lay01_gutters")
+@query("lay01_gutters", f"""WITH b AS ({_BOXES}), pages AS (SELECT page, min(x0) AS first, max(x1) AS last FROM b GROUP BY page),
+ covered AS (SELECT DISTINCT page, x FROM (SELECT page, unnest(range(CAST(floor(x0) AS BIGINT), CAST(greatest(floor(x0), ceil(x1) - 1) AS BIGINT) + 1)) AS x FROM b) WHERE x BETWEEN 132 AND 308),
+ edges AS (SELECT page, x FROM covered UNION SELECT page, 131 FROM pages UNION SELECT page, 309 FROM pages), gaps AS (SELECT page, x, lag(x) OVER (PARTITION BY page ORDER BY x) AS before FROM edges)
+ SELECT page, before + 1 AS "left", x AS "right" FROM (SELECT gaps.*, row_number() OVER (PARTITION BY gaps.page ORDER BY x - before DESC, x) AS k FROM gaps JOIN pages ON pages.page = gaps.page WHERE x - before - 1 >= 15 AND first < before + 1 AND last > x) WHERE k = 1""")
 def lay01(spark, sf_dir):
     return lo.gutters(_boxes(spark, sf_dir), 440.0, support=1)
 
 
-@query("lay02_lines")
+@query("lay02_lines", f"""WITH w AS (SELECT page, CAST(floor(pos / 2) * 12.0 + pos % 2 AS DOUBLE) AS top, CAST(floor(pos / 2) AS BIGINT) AS g, x0, x1, text FROM ({_BOXES})), l AS (SELECT *, lag(x1) OVER (PARTITION BY page, g ORDER BY x0, text) AS before FROM w)
+ SELECT page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY g) - 1 AS BIGINT) AS line, round(avg(top), 3) AS top, string_agg(CASE WHEN before IS NULL OR x0 - before <= 2 THEN '' ELSE ' ' END || text, '' ORDER BY x0, text) AS text FROM l GROUP BY page, g""")
 def lay02(spark, sf_dir):
-    return lo.line_texts(_boxes(spark, sf_dir).withColumn("top", F.floor(F.col("pos") / 2) * 12.0 + F.col("pos") % 2))
+    return lo.line_texts(_boxes(spark, sf_dir).withColumn("top", F.floor(F.col("pos") / 2) * 12.0 + F.col("pos") % 2)).drop("x0")
 
 
 @query("win05_gaps", f"SELECT page, pos, top - lag(top) OVER (PARTITION BY page ORDER BY pos, text) AS gap FROM ({_BOXES})")

@@ -168,7 +168,7 @@ def jn05(spark, sf_dir):
     return se.attach_tags(br.library(spark, sf_dir).select("id", "category_id"), br.bindings(spark, sf_dir), br.tags(spark, sf_dir)).select("id", "category", F.array_join("tags", "|").alias("tags"))
 
 
-@query("jn07_reported_ids", with_views("SELECT id FROM lib WHERE id % 3 = 0 AND EXISTS (SELECT 1 FROM report WHERE lit_id = lib.id)", "lib", "report"))
+@query("jn07_reported_ids", with_views("SELECT id FROM lib WHERE EXISTS (SELECT 1 FROM report WHERE lit_id = lib.id)", "lib", "report"))
 def jn07(spark, sf_dir):
     return br.library(spark, sf_dir).join(br.reports(spark, sf_dir).select(F.col("lit_id").alias("id")), "id", "left_semi").select("id")
 
@@ -270,11 +270,6 @@ def win02(spark, sf_dir):
     return tb.update_latest(br.reports(spark, sf_dir), "lit_id", {"core_view": F.reverse("core_view")}, F.desc("parse_seq"), F.desc("id")).select("id", "core_view")
 
 
-@query("win03_last_of_each_kind", with_views("SELECT operate_type, max(id) FILTER (operate_time = m) AS id FROM (SELECT *, max(operate_time) OVER (PARTITION BY operate_type) AS m FROM oplog) GROUP BY operate_type", "oplog"))
-def win03(spark, sf_dir):
-    return br.log(spark, sf_dir).groupBy("operate_type").agg(F.max_by("id", F.struct("operate_time", "id")).alias("id"))
-
-
 @query("win10_unique_names", with_views("SELECT id, author || CASE WHEN n = 1 THEN '' ELSE '_' || CAST(n - 1 AS VARCHAR) END AS unique_name FROM (SELECT id, author, row_number() OVER (PARTITION BY author ORDER BY id) AS n FROM lib)", "lib"))
 def win10(spark, sf_dir):
     return tb.numbered(br.library(spark, sf_dir).select("id", "author"), F.col("author"), F.col("id")).select("id", F.col("unique").alias("unique_name"))

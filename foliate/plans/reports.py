@@ -10,7 +10,7 @@ from foliate.operators import cleaning as cl
 from foliate.operators import report as rp
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
-from foliate.plans.documents import _LINES, _docs, _sectioned
+from foliate.plans.documents import _GLUE, _LINES, _docs, _sectioned
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources import files
@@ -64,7 +64,7 @@ def flt18(spark, sf_dir):
     return br.table(spark, sf_dir, "pages").select("page_id", rp.within(path, "/data/lib").alias("inside"))
 
 
-@query("str07_unwrapped_lines")
+@query("str07_unwrapped_lines", f"WITH p AS (SELECT doc_id, line_no, trim(line) AS line FROM ({_LINES})), g AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM p WHERE line <> '') SELECT d.doc_id, coalesce(t, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg({_GLUE} || line, '' ORDER BY line_no) AS t FROM g GROUP BY doc_id) g ON g.doc_id = d.doc_id")
 def str07(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", cl.unwrapped(F.col("text")).alias("text"))
 
@@ -98,12 +98,6 @@ def str28(spark, sf_dir):
     return br.table(spark, sf_dir, "pages").select("page_id", F.array_join(rp.page_numbers(listed).cast("array<string>"), "|").alias("pages"))
 
 
-@query("set04_first_occurrences", with_views("SELECT lit_id, min(id) AS first FROM oplog GROUP BY lit_id", "oplog"))
-def set04(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("lit_id").orderBy("id"))
-    return br.log(spark, sf_dir).select("lit_id", F.col("id").alias("first"), first.alias("k")).where("k = 1").select("lit_id", "first")
-
-
 @query("set07_pages_left", with_views("SELECT lit_id, string_agg(CAST(p AS VARCHAR), '|' ORDER BY p) AS pages_left FROM (SELECT DISTINCT lit_id FROM note) CROSS JOIN (SELECT unnest(range(8)) AS p) WHERE (lit_id, p) NOT IN (SELECT lit_id, id % 100 FROM note) GROUP BY lit_id", "note"))
 def set07(spark, sf_dir):
     read = br.notes(spark, sf_dir).groupBy("lit_id").agg(F.collect_set((F.col("id") % 100).cast("int")).alias("read"))
@@ -124,11 +118,6 @@ def dml08(spark, sf_dir):
     return tb.upsert(have, new, "lit_id")
 
 
-@query("dml09_single_default", with_views("SELECT id, CASE WHEN id = 202 THEN 1 ELSE 0 END AS is_default FROM tag WHERE tag_type = 2", "tag"))
-def dml09(spark, sf_dir):
-    return br.tags(spark, sf_dir).where("tag_type = 2").select("id", (F.col("id") == 202).cast("int").alias("is_default"))
-
-
 @query("dml12_states", with_views("SELECT id, CASE WHEN is_parsed <> 1 THEN is_parsed WHEN id % 8 = 1 THEN 3 ELSE 2 END AS is_parsed FROM lib", "lib"))
 def dml12(spark, sf_dir):
     lit = br.library(spark, sf_dir).select("id", "is_parsed")
@@ -143,24 +132,19 @@ def dml17(spark, sf_dir):
     return tb.insert_missing(tags.where("tag_type = 2").select("tag_name"), tb.without(preset, tags.where("tag_type = 1"), ["tag_name"]), ["tag_name"])
 
 
-@query("dml21_purged_keys", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') = '' AS gone FROM (SELECT event_id, '{}' AS props FROM events)")
-def dml21(spark, sf_dir):
-    kept = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, _: k != "k")
-    return br.table(spark, sf_dir, "events").select("event_id", F.element_at(kept, "k").isNull().alias("gone"))
-
-
 @query("agg11_heading_lines", "SELECT doc_id, CAST(ceil((length(text) - length(replace(text, chr(10), '')) + 1) / 3.0) AS BIGINT) AS n FROM documents WHERE text <> ''")
 def agg11(spark, sf_dir):
     titles = F.filter(tx.lines(F.col("text")), lambda x: st.heading(tx.strip(x)).isNotNull())
     return _sectioned(spark, sf_dir).select("doc_id", F.size(titles).cast("long").alias("n")).where("n > 0")
 
 
-@query("ord06_top_keywords", "SELECT label, string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY vec_id DESC) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM embeddings) WHERE k <= 3 GROUP BY label")
+_ITEM_COUNTS = "SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9ß-öø-ɏ]{2,}')) AS word FROM benchmark) GROUP BY 1, 2"
+
+
+@query("ord06_top_keywords", f"WITH w AS ({_ITEM_COUNTS}), d AS (SELECT word, count(*) AS df FROM w GROUP BY word), s AS (SELECT item_id, sum(n) AS size FROM w GROUP BY item_id) SELECT item_id, string_agg(word, '|' ORDER BY k) AS top FROM (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY round(n / size * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1), 9) DESC, word) AS k FROM w JOIN d USING (word) JOIN s USING (item_id)) WHERE k <= 5 GROUP BY item_id")
 def ord06(spark, sf_dir):
-    top = tb.latest(br.table(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", F.desc("vec_id"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("vec_id")))
-    rows = br.table(spark, sf_dir, "embeddings").select("label", "vec_id", place.alias("k")).where("k <= 3").join(top.select("label"), "label", "left_semi")
-    return rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "vec_id"))), lambda r: r["vec_id"].cast("string")), "|").alias("newest"))
+    top = st.weighted_words(br.table(spark, sf_dir, "benchmark"), 5, key="item_id")
+    return top.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda r: r["word"]), "|").alias("top"))
 
 
 @query("rec05_delete_guards", with_views("SELECT id, (SELECT count(*) FROM tag c WHERE c.parent_id = tag.id) > 0 AS has_children, (SELECT count(*) FROM lib WHERE category_id = tag.id) > 0 AS has_papers FROM tag WHERE tag_type = 1", "tag", "lib"))

@@ -67,6 +67,13 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("item_id * 2 + v AS id", "item_id AS lit_id", "text AS core_view", "v AS version", "CASE WHEN item_id % 2 = 0 THEN v ELSE 1 - v END AS parse_seq")
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule for each source and language of the documents; that of the least id is the default."""
+    own = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("id"))
+    least = own.agg(F.min("id").alias("_least"))
+    return own.join(F.broadcast(least)).select("id", F.concat_ws(" ", "source", "lang").alias("name"), F.col("lang").alias("subject"), (F.col("id") == F.col("_least")).cast("int").alias("is_default"))
+
+
 def manifest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id % 10 <> 0").selectExpr("concat('lib/', doc_id, '.txt') AS path", "CASE WHEN doc_id % 6 = 0 THEN n_chars + 1 ELSE n_chars END AS size")
 
@@ -88,6 +95,7 @@ SQL = {
  CASE WHEN role = 'system' THEN '' WHEN role = 'user' THEN concat('txh:', CAST(turn * 10 AS VARCHAR), '-', CAST(turn * 10 + 7 AS VARCHAR)) ELSE concat('pdf:', CAST(turn AS VARCHAR), ':10,20,', CAST(10 + turn AS VARCHAR), ',60') END AS paragraph_pos, text AS note_content FROM conversations""",
     "oplog": "SELECT event_id AS id, event_type AS operate_type, props AS operate_content, user_id AS lit_id, ts AS operate_time, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS operate_status FROM events",
     "report": "SELECT item_id * 2 + v AS id, item_id AS lit_id, text AS core_view, CAST(v AS INT) AS version, CASE WHEN item_id % 2 = 0 THEN v ELSE 1 - v END AS parse_seq FROM benchmark CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 AS v) vv",
+    "rule": "SELECT id, source || ' ' || lang AS name, lang AS subject, CASE WHEN id = (SELECT min(doc_id) FROM documents) THEN 1 ELSE 0 END AS is_default FROM (SELECT source, lang, min(doc_id) AS id FROM documents GROUP BY source, lang)",
     "prev": "SELECT concat('lib/', CAST(doc_id AS VARCHAR), '.txt') AS path, CASE WHEN doc_id % 6 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 10 <> 0",
 }
 
