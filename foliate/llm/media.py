@@ -26,8 +26,9 @@ from foliate.llm.shared import as_bytes, blocks, bounded
 UNIT = 192
 #: Units in a row and in a column of a frame of a longer text; frames per second.
 GRID, RATE = 4, 25
-#: Bins of the luma histogram, and the window, factor and floor of the adaptive threshold.
-BINS, WINDOW, FACTOR, FLOOR = 32, 12, 3.0, 0.1
+#: Bins of the luma histogram; the window on either side, factor and floor of the adaptive threshold; the fewest
+#: neighbours that it is taken from, and the fixed threshold where there are fewer.
+BINS, WINDOW, FACTOR, FLOOR, NEIGHBOURS, SUDDEN = 32, 12, 4.0, 0.1, 3, 0.5
 
 
 def _zigzag() -> np.ndarray:
@@ -292,21 +293,27 @@ def histograms(frame: Frame, coefs: list[np.ndarray]) -> np.ndarray:
 def shots(hists: np.ndarray) -> tuple[list[int], np.ndarray]:
     """First frames of the shots, and half the absolute histogram difference of each frame to the one before.
 
-    A shot begins where the difference is at least FLOOR and above the mean of the WINDOW differences
-    before it (those of its shot) by FACTOR standard deviations.
+    A shot begins where the difference is at least FLOOR and above the mean of the WINDOW differences on either
+    side by FACTOR standard deviations: steady change, as of noise, begins none. Movies of few frames take SUDDEN.
     """
     if not len(hists):
         return [], np.zeros(0)
     moves = np.concatenate([[0], np.abs(np.diff(hists, axis=0)).sum(axis=1) / 2])
     cuts = [0]
     for i in range(1, len(moves)):
-        if moves[i] >= FLOOR:
-            past = moves[max(cuts[-1] + 1, i - WINDOW) : i]
-            if not len(past) or moves[i] > past.mean() + FACTOR * past.std() + 1e-12:
-                cuts.append(i)
+        around = np.concatenate([moves[max(1, i - WINDOW) : i], moves[i + 1 : i + 1 + WINDOW]])
+        limit = around.mean() + FACTOR * around.std() + 1e-12 if len(around) >= NEIGHBOURS else SUDDEN
+        if moves[i] >= FLOOR and moves[i] > limit:
+            cuts.append(i)
     return cuts, moves
 
 
+def timed(hists: np.ndarray, rate: float) -> list[dict]:
+    """The clips of a movie: first frame, number of frames, seconds of begin and end, and the difference that began each."""
+    cuts, moves = shots(hists)
+    return [{"first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate, "difference": float(moves[a])} for a, b in zip(cuts, [*cuts[1:], len(hists)], strict=True)]
+
+
 def decode(movies: list[Movie]) -> list[tuple[bytes, np.ndarray]]:
     """Bytes in the coefficients, and frame histograms, of each movie; frames with equal tables are decoded together."""
     known: dict[bytes, Frame] = {}
@@ -375,9 +382,7 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
         for batch in batches:
             out = []
             for key, (movie, _, _, hists) in zip(batch.column(0).to_pylist(), _described(batch.column(1).to_pylist()), strict=True):
-                cuts, moves = shots(hists)
-                for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(hists)], strict=True)):
-                    out.append((key, i, a, b - a, a / movie.rate, b / movie.rate, float(moves[a])))
+                out += [(key, i, *clip.values()) for i, clip in enumerate(timed(hists, movie.rate))]
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             names = ["key", "clip", "first_frame", "frames", "start_s", "end_s", "difference"]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
@@ -386,22 +391,31 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
     return made.withColumnRenamed("key", key)
 
 
+_CLIP = pa.struct([("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("difference", pa.float64())])
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes each text, reads the stored bytes back, and gives sizes, digests and shots. One pass in a task."""
+    """Encodes each text, reads the stored bytes back, and gives sizes, digests, shots and timed clips. One pass in a task.
+
+    Null and empty texts are one unit of spaces; equal texts have equal values, repeated rows and null keys are kept;
+    other columns are not read; an empty table gives no rows. A long text is a movie of many frames, read as a whole.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _encode_batches(batches):
             media, out = batch.column(1).to_pylist(), []
-            for file, (_, payload, n_bytes, hists) in zip(media, _described(media), strict=True):
-                cuts, moves = shots(hists)
-                feature = f"frames={len(hists)};shots={len(cuts)};cuts={'|'.join(map(str, cuts[1:]))};largest={moves.max(initial=0):.4f}"
-                out.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            for file, (movie, payload, n_bytes, hists) in zip(media, _described(media), strict=True):
+                clips = timed(hists, movie.rate)
+                largest = max([c["difference"] for c in clips[1:]], default=0.0)
+                feature = f"frames={len(hists)};shots={len(clips)};cuts={'|'.join(str(c['first_frame']) for c in clips[1:])};largest={largest:.4f}"
+                out.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature, clips))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CLIP)]
+            names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=names)
 
     rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    clip = "array<struct<first_frame: bigint, frames: bigint, start_s: double, end_s: double, difference: double>>"
+    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {clip}")
     return made.withColumnRenamed("key", key)
 
 

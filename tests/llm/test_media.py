@@ -83,4 +83,21 @@ def test_samples_are_the_inverse_transform():
 def test_shots_adapt_to_the_motion_before():
     calm, other = np.eye(media.BINS)[[0]], np.eye(media.BINS)[[5]]
     assert media.shots(np.concatenate([calm] * 5 + [other] * 5))[0] == [0, 5]
+    noise = np.random.default_rng(1).dirichlet(np.ones(media.BINS) * 4, size=60)
+    noise[30:] = np.random.default_rng(2).dirichlet(np.r_[np.ones(4) * 90, np.ones(28)], size=30)
+    assert media.shots(noise[:30])[0] == [0] and media.shots(noise)[0] == [0, 30]
+    assert [c["end_s"] for c in media.timed(noise, 25)] == [1.2, 2.4]
     assert media.shots(np.concatenate([calm * (1 - t) + other * t for t in np.linspace(0, 1, 11)]))[0] == [0]
+
+
+def test_query_columns(spark):
+    from foliate.llm.queries import QUERIES
+
+    rows = QUERIES["op1_media"](spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        payload = docs[r.doc_id].ljust(192 * max(1, -(-len(docs[r.doc_id]) // 192)))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.clips[0].start_s == 0 and sum(c.frames for c in r.clips) == int(r.feature.split(";")[0][7:])
+    assert np.mean([len(r.clips) / sum(c.frames for c in r.clips) for r in rows if sum(c.frames for c in r.clips) > 4]) < 0.5
