@@ -59,10 +59,32 @@ def replace_set(bindings: DataFrame, wanted: DataFrame, owner: str) -> DataFrame
     return without(bindings, wanted, [owner]).unionByName(wanted.distinct())
 
 
-def numbered(df: DataFrame, name: Column, order: Column, separator: str = "_", first: int = 1) -> DataFrame:
+#: Ranges into which the order of a group is cut before its rows are numbered.
+RANGES = 1024
+
+
+def ranked(df: DataFrame, order: str, group: Column | None = None) -> DataFrame:
+    """Adds _n: the place of each row, from 1, in the order of a column of whole numbers, within its group or in all.
+
+    The values are cut into RANGES equal ranges, which the data alone decide; rows are numbered within group and range, and the
+    ranges before are added up, so that no task sees more of a large group than a range of it.
+    """
+    group = F.lit(0) if group is None else group
+    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    width = F.floor((F.col("_high") - F.col("_low")) / RANGES) + 1
+    cut = df.withColumn("_group", group).join(F.broadcast(ends)).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
+    inner = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_group", "_range").orderBy(order)))
+    sizes = cut.groupBy("_group", "_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_size")).drop("_size")
+    again = before.withColumnsRenamed({"_group": "_g", "_range": "_r"})
+    joined = inner.join(again, F.col("_group").eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return joined.withColumn("_n", F.col("_n") + F.col("_before")).drop("_group", "_range", "_g", "_r", "_before")
+
+
+def numbered(df: DataFrame, name: Column, order: str, separator: str = "_", first: int = 1) -> DataFrame:
     """Adds unique: the name, or with a running suffix where rows before have the same name."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("unique", F.when(n == 0, name).otherwise(F.concat(name, F.lit(separator), (n + first - 1).cast("string"))))
+    n = F.col("_n") - 1
+    return ranked(df, order, name).withColumn("unique", F.when(n == 0, name).otherwise(F.concat(name, F.lit(separator), (n + first - 1).cast("string")))).drop("_n")
 
 
 def changed_files(now: DataFrame, before: DataFrame, by: str = "size") -> DataFrame:
@@ -114,14 +136,6 @@ def tag_tree(tags: DataFrame, levels: int = 16) -> DataFrame:
 
 
 def with_new_ids(rows: DataFrame, table: DataFrame, order: str) -> DataFrame:
-    """Adds ids that follow the table's greatest, in the order of a column that tells the rows apart.
-
-    Rows are numbered within ranges of the order first, and the ranges' sizes are added up, so that no task
-    sees more than its range.
-    """
+    """Adds ids that follow the table's greatest, in the order of a column of whole numbers that tells the rows apart."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = inner.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).drop("_size")
-    return inner.join(F.broadcast(before), "_part").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_top")
+    return ranked(rows, order).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_n", "_top")

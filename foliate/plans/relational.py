@@ -272,7 +272,7 @@ def win02(spark, sf_dir):
 
 @query("win10_unique_names", with_views("SELECT id, author || CASE WHEN n = 1 THEN '' ELSE '_' || CAST(n - 1 AS VARCHAR) END AS unique_name FROM (SELECT id, author, row_number() OVER (PARTITION BY author ORDER BY id) AS n FROM lib)", "lib"))
 def win10(spark, sf_dir):
-    return tb.numbered(br.library(spark, sf_dir).select("id", "author"), F.col("author"), F.col("id")).select("id", F.col("unique").alias("unique_name"))
+    return tb.numbered(br.library(spark, sf_dir).select("id", "author"), F.col("author"), "id").select("id", F.col("unique").alias("unique_name"))
 
 
 @query("ord01_sorted_page", with_views("SELECT id, file_size FROM lib ORDER BY file_size ASC, id DESC LIMIT 100", "lib"))

@@ -32,7 +32,7 @@ def src07(spark, sf_dir):
 
 @query("src14_manifest_files", with_views("SELECT path, size FROM prev", "prev"))
 def src14(spark, sf_dir):
-    rows = br.manifest_before(spark, sf_dir).withColumn("part", F.xxhash64("path") % 16)
+    rows = br.manifest_before(spark, sf_dir).withColumn("part", F.floor(F.regexp_extract("path", "([0-9]+)", 1).cast("long") / 500))
     manifests = rows.groupBy("part").agg(F.collect_list(F.struct("path", "size")).alias("f"))
     name = F.when(F.col("part") % 2 == 0, F.to_json(F.struct(F.col("f").alias("cumulative_files")))).otherwise(F.to_json(F.struct(F.col("f").alias("files"))))
     return files.manifest_files(manifests.select(name.alias("manifest"))).select("path", "size")
@@ -125,11 +125,13 @@ def dml12(spark, sf_dir):
     return tb.patch(lit, done, "id")
 
 
-@query("dml17_preset_labels", with_views("SELECT tag_name FROM tag WHERE tag_type = 2 UNION ALL SELECT 'fresh'", "tag"))
+@query("dml17_preset_labels", "SELECT DISTINCT source AS tag_name FROM documents UNION ALL SELECT DISTINCT lang FROM documents WHERE lang <> 'de' UNION ALL SELECT 'fresh'")
 def dml17(spark, sf_dir):
-    tags = br.tags(spark, sf_dir)
-    preset = spark.createDataFrame([("toxic",), ("EUROPE",), ("fresh",), ("fresh",)], "tag_name string")
-    return tb.insert_missing(tags.where("tag_type = 2").select("tag_name"), tb.without(preset, tags.where("tag_type = 1"), ["tag_name"]), ["tag_name"])
+    """Sources are labels; languages and two more are preset, of which those that are labels or categories ('de') are left out."""
+    docs = br.table(spark, sf_dir, "documents")
+    labels, categories = docs.select(F.col("source").alias("tag_name")).distinct(), docs.where("lang = 'de'").select(F.col("lang").alias("tag_name")).distinct()
+    preset = docs.select(F.explode(F.array("lang", F.lit("fresh"), F.lit("src1"))).alias("tag_name"))
+    return tb.insert_missing(labels, tb.without(preset, categories, ["tag_name"]), ["tag_name"])
 
 
 @query("agg11_heading_lines", "SELECT doc_id, CAST(ceil((length(text) - length(replace(text, chr(10), '')) + 1) / 3.0) AS BIGINT) AS n FROM documents WHERE text <> ''")
