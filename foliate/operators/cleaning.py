@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions import text as tx
 
 #: Han characters and full-width marks (fixed values).
-_HAN, _MARKS = r"一-鿿㐀-䶿", "，。；：、？！）】》〉」』…—·～（【《〈「『"
+_HAN, MARKS = r"一-鿿㐀-䶿", "，。；：、？！）】》〉」』…—·～（【《〈「『"
 #: Marks behind which a line ends, beginnings of list items and of numbered headings (fixed values).
 _ENDS = tx.SENTENCE_ENDS + "：:"
 _ITEM = r"^\s*(?:\[\s*\d+\s*\]|\(\s*\d+\s*\)|（\s*\d+\s*）|\d+\s*[.、)]|[▪•·\-*]\s+)"
@@ -22,7 +22,7 @@ HEADER_LENGTH, HEADING_LENGTH, GAP_RATIO, GAP_EXTRA, INDENT_RATIO, INDENT_LEAST
 
 def without_han_spaces(c: Column) -> Column:
     """Blanks between Han characters or full-width marks go; others stay."""
-    return F.regexp_replace(c, rf"(?<=[{_HAN}{_MARKS}])[ \t ]+(?=[{_HAN}{_MARKS}])", "")
+    return F.regexp_replace(c, rf"(?<=[{_HAN}{MARKS}])[ \t ]+(?=[{_HAN}{MARKS}])", "")
 
 
 def unwrapped(c: Column) -> Column:

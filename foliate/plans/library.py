@@ -52,6 +52,33 @@ def src13(spark, sf_dir):
     return _tables(spark, sf_dir, 20).select("doc", "place", tx.markdown_table(cells).alias("markdown"))
 
 
+@query("jn01_papers_with", with_views("SELECT id, id IN (SELECT lit_id FROM bind WHERE tag_id = 201) AS tagged, id IN (SELECT lit_id FROM report) AS reported FROM lib WHERE id IN (SELECT lit_id FROM note)", "lib", "bind", "report", "note"))
+def jn01(spark, sf_dir):
+    """Papers with notes, and which of them have a tag and a report."""
+    papers = br.library(spark, sf_dir).select("id")
+    some = lambda df: df.select(F.col("lit_id").alias("id")).distinct()
+    noted = papers.join(some(br.notes(spark, sf_dir)), "id", "left_semi")
+    tagged, reported = some(br.bindings(spark, sf_dir).where("tag_id = 201")).withColumn("_t", F.lit(True)), some(br.reports(spark, sf_dir)).withColumn("_r", F.lit(True))
+    return noted.join(tagged, "id", "left").join(reported, "id", "left").select("id", F.col("_t").isNotNull().alias("tagged"), F.col("_r").isNotNull().alias("reported"))
+
+
+@query("jn02_title_or_note", with_views("SELECT id FROM lib WHERE contains(lower(title), 'tion') OR EXISTS (SELECT 1 FROM note WHERE lit_id = lib.id AND contains(lower(note_content), 'ing')) OR EXISTS (SELECT 1 FROM bind WHERE lit_id = lib.id AND tag_id = 202)", "lib", "note", "bind"))
+def jn02(spark, sf_dir):
+    """A keyword in the title, or in some note, or a tag: rows that other tables bring in are found once, not in each disjunct."""
+    papers = br.library(spark, sf_dir).select("id", "title")
+    noted = br.notes(spark, sf_dir).where(tx.contains_literal(F.col("note_content"), "ing")).select(F.col("lit_id").alias("id"))
+    tagged = br.bindings(spark, sf_dir).where("tag_id = 202").select(F.col("lit_id").alias("id"))
+    known = noted.union(tagged).distinct().withColumn("_in", F.lit(True))
+    return papers.join(known, "id", "left").where(tx.contains_literal(F.col("title"), "tion") | F.col("_in").isNotNull()).select("id")
+
+
+@query("snk03_rendered_reports", with_views("SELECT id, '文献基础信息' || chr(10) || repeat('=', 40) || chr(10) || '文献标题：' || title || chr(10) || '作者：' || author || chr(10) || '发表时间：' || CASE WHEN publish_time = '' THEN '未知' ELSE publish_time END || chr(10) || '期刊/来源：' || journal_source || chr(10) || '关键词：' || author || '、' || journal_source || chr(10) || chr(10) || '一、研究背景' || chr(10) || repeat('=', 40) || chr(10) || author || chr(10) || chr(10) || '六、参考文献' || chr(10) || repeat('=', 40) || chr(10) || journal_source || chr(10) AS report FROM lib", "lib"))
+def snk03(spark, sf_dir):
+    c, none = F.col, F.lit(" \n")
+    report = rp.rendered(c("title"), c("author"), c("publish_time"), c("journal_source"), F.concat_ws("、", "author", "journal_source"), [c("author"), none, F.lit(None).cast("string"), none, none, c("journal_source")])
+    return br.library(spark, sf_dir).select("id", report.alias("report"))
+
+
 # exports
 
 

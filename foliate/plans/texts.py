@@ -11,9 +11,10 @@ from foliate.operators import cleaning as cl
 from foliate.operators import fallback as fb
 from foliate.operators import layout as lo
 from foliate.operators import structure as st
-from foliate.plans.documents import _BOXES, _LINES, _PARSED, _anchored, _boxes, _docs, _sectioned
+from foliate.plans.documents import _BOXES, _LINES, _PARSED, _SECTIONED, _anchored, _boxes, _docs, _sectioned
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
+from foliate.sources import files
 from foliate.sources.bridge import with_views
 
 # words and lines
@@ -185,6 +186,31 @@ def ord09(spark, sf_dir):
     return _boxes(spark, sf_dir).select("page", "pos", "text", F.row_number().over(Window.partitionBy("page").orderBy("top", "x0", "text")).alias("place"))
 
 
+@query("lay03_joined_words", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '研究，' || event_id WHEN 1 THEN '研究 ' || event_id ELSE '研究' || event_id END AS text FROM events")
+def lay03(spark, sf_dir):
+    """Three words of a line: Han ones and marks stand together, others where the gap is small."""
+    e = F.col("event_id")
+    parts = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit("研").alias("text")), F.struct(F.lit(30.0).alias("x0"), F.lit("究").alias("text")), F.struct(F.when(e % 3 == 2, 43.0).otherwise(60.0).alias("x0"), F.when(e % 3 == 0, F.concat(F.lit("，"), e.cast("string"))).otherwise(e.cast("string")).alias("text")))
+    words = br.table(spark, sf_dir, "events").select(e.alias("page"), F.explode(parts).alias("w")).select("page", "w.*", (F.col("w.x0") + 12).alias("x1"), F.lit(7.0).alias("top"))
+    return lo.line_texts(words).select(F.col("page").alias("event_id"), "text")
+
+
+@query("src09_decoded_files", "SELECT doc_id, trim(text, ' ' || chr(10)) AS text, CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 'utf-8-sig' WHEN doc_id % 3 = 1 THEN 'utf-8-sig' END AS encoding FROM documents WHERE doc_id % 3 < 2")
+def src09(spark, sf_dir):
+    """Files in UTF-8, with and without a mark of byte order, and with DOS line breaks."""
+    dos = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\ufeff"), dos, F.lit(" \n"))).otherwise(F.col("text"))
+    rows = _docs(spark, sf_dir).where("doc_id % 3 < 2").select("doc_id", F.encode(raw, "UTF-8").alias("raw"))
+    return files.decoded_texts(rows, "raw", "doc_id")
+
+
+@query("doc04_section_anchors", f"WITH {_SECTIONED} SELECT doc_id, dimension, string_agg(CAST(p AS VARCHAR), '|' ORDER BY p) AS anchors FROM (SELECT DISTINCT doc_id, dimension, CAST(floor(line_no / 3) AS INT) AS p FROM lined JOIN dims ON d = CAST(least(floor(line_no / 3), 4) AS INT)) GROUP BY doc_id, dimension")
+def doc04(spark, sf_dir):
+    spaced = _sectioned(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\n(?=Abstract|Methods|Innovations|Conclusions|References)", "\n\n"))
+    rows = st.section_paragraphs(spaced).groupBy("doc_id", "dimension").agg(F.array_sort(F.collect_list("paragraph")).alias("p"))
+    return rows.select("doc_id", "dimension", F.array_join(F.col("p").cast("array<string>"), "|").alias("anchors"))
+
+
 # filled sections
 
 
