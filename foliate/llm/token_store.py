@@ -30,6 +30,19 @@ _MAGIC = b"IDS1"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
 
+#: Of vocabularies with these rules a text's ids are those of its pieces between blanks (fixed values).
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _byte_letters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for
     themselves, the others from 256 on in order."""
@@ -39,10 +52,9 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder(dict):
-    """Ids of a space-free piece of text as bytes, remembered. The vocabulary must break words at
-    white space and encode each by itself, as word_bpe_49k.json does; then a text's ids are those
-    of its pieces. Pieces of Latin letters and punctuation go to the library's model directly,
-    others through its whole normaliser."""
+    """Ids of a space-free piece of text as bytes, remembered. Pieces of Latin letters and punctuation go to the
+    library's model directly, others through its whole normaliser. A vocabulary whose rules aren't _WORD_RULES
+    encodes whole texts through the library alone."""
 
     def __init__(self, path: str, limit: int = MEMO):
         from tokenizers import Tokenizer
@@ -52,6 +64,8 @@ class Encoder(dict):
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
+        told = json.loads(self.whole.to_str())
+        self.by_word = all(told.get(k) == v for k, v in _WORD_RULES.items())
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
@@ -70,6 +84,8 @@ class Encoder(dict):
         return made
 
     def text(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

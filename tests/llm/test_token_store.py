@@ -30,6 +30,28 @@ def test_pieces_encode_as_the_library(library):
         assert np.frombuffer(encoder.text(t or ""), "<u2").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_other_vocabularies_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = ts.Encoder(path), Tokenizer.from_file(path)
+    assert ts.Encoder(PATH).by_word and not encoder.by_word
+    for t in texts():
+        assert np.frombuffer(encoder.text(t or ""), "<u2").tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_query_has_the_library_s_ids_of_every_text(spark, library):
+    from foliate.llm.queries import QUERIES
+
+    docs = sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    want, start = [], 0
+    for r in docs:
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op2_token_store"](spark, "/root/testdata/sf0.001").collect())) == want
+
+
 @pytest.mark.parametrize("shard_text", [1 << 30, 300])
 def test_round_trip(spark, library, shard_text):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts())] + [(5, "again"), (5, "again"), (5, "other"), (None, "no key"), (-3, "below"), (6, "long text " * 40_000), *((17, f"hot {i}") for i in range(90))]
