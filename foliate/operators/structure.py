@@ -23,8 +23,8 @@ _NUMBERING = r"(?:[0-9一二三四五六七八九十]+[.、\s]*)?"
 HEADING_LENGTH, LOCAL_LENGTH, RATIO, JACCARD, SOURCE_SHARE, UNION_SHARE, COMMON = 30, 30, 3.0, 0.12, 0.15, 0.35, 3
 #: A text below this is short; headings from which it is dense; keywords of short and other texts (fixed values).
 SHORT, DENSE, KEYWORDS_SHORT, KEYWORDS = 1500, 6, 10, 20
-#: Texts beyond which a word counts as common.
-COMMON_WORD = 10_000
+#: Texts beyond which a word counts as common, if it is in one of so many of all, too.
+COMMON_WORD, COMMON_SHARE = 10_000, 1000
 #: Words in the first characters of a text that tell its kind, and lines that count as headings in a profile (fixed values).
 SURVEY, EXPERIMENT = ("综述", "研究进展", "文献综述", "review", "survey"), ("实验", "数据集", "消融", "experiment", "实证")
 MARKED_LINE = r"^\s*(?:第?\s*[0-9一二三四五六七八九十]+\s*[章节、.．]|[0-9]+(?:\.[0-9]+)*\s+\S|摘要|引言|前言|绪论|背景|方法|实验|结论|讨论|参考文献|相关工作|abstract|introduction|related work|method|experiment|conclusion|reference)"
@@ -84,16 +84,20 @@ def frequent_words(docs: DataFrame, most: int, key: str = "doc_id", text: str =
 
 
 def weighted_words(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The words of greatest tf * (ln((1 + N) / (1 + df)) + 1), ties by word. Words of more than COMMON_WORD texts, of
-    which there are at most the corpus's words / COMMON_WORD, don't join by word."""
+    """The words of greatest tf * (ln((1 + N) / (1 + df)) + 1), ties by word.
+
+    A word of very many texts has a row for each of them on one side of the join by word, so those in more than
+    COMMON_WORD texts and in one of COMMON_SHARE go to all tasks instead: these are at most COMMON_SHARE times the mean
+    number of distinct words of a text, whatever the size of the corpus.
+    """
     counts = word_counts(docs, key, text)
-    in_docs = counts.groupBy("word").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
-    # a word of very many texts has a row for each on one side of the join by word: those few words go to all tasks instead
-    common = F.broadcast(in_docs.where(F.col("df") > COMMON_WORD).withColumnRenamed("df", "_common"))
+    in_docs = counts.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(total))
+    is_common = (F.col("df") > COMMON_WORD) & (F.col("df") * COMMON_SHARE > F.col("docs"))
+    common = F.broadcast(in_docs.where(is_common).withColumnsRenamed({"df": "_df", "docs": "_docs"}))
     told = counts.join(common, "word", "left")
-    rare = told.where("_common IS NULL").join(in_docs.where(F.col("df") <= COMMON_WORD), "word").drop("_common")
-    scored = rare.unionByName(told.where("_common IS NOT NULL").withColumnRenamed("_common", "df")).join(F.broadcast(total))
+    rare = told.where("_df IS NULL").drop("_df", "_docs").join(in_docs.where(~is_common), "word")
+    scored = rare.unionByName(told.where("_df IS NOT NULL").withColumnsRenamed({"_df": "df", "_docs": "docs"}))
     own = Window.partitionBy(key)
     weight = F.col("n") / F.sum("n").over(own) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
     place = F.row_number().over(own.orderBy(F.desc(F.round("weight", 9)), "word"))

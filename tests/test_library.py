@@ -147,3 +147,12 @@ def test_small_functions(spark):
     assert tuple(row) == (7, "x/y", "/z", 20, '{"a":"1"}', "#FFE066", [])
     with pytest.raises(ValueError, match="above 0"):
         tx.slices(F.lit(None), 0)
+
+
+@pytest.mark.parametrize(("most", "share"), [(10_000, 1000), (2, 1000), (0, 1 << 40), (3, 2)])
+def test_common_words_weigh_the_same(spark, monkeypatch, most, share):
+    d = spark.createDataFrame([(i, " ".join(["all"] * 3 + ["even"] * (i % 2 == 0) + [f"w{i % 5}", f"own{i}"])) for i in range(12)], "doc_id long, text string")
+    want = sorted(map(tuple, st.weighted_words(d, 3).collect()))
+    monkeypatch.setattr(st, "COMMON_WORD", most)
+    monkeypatch.setattr(st, "COMMON_SHARE", share)
+    assert sorted(map(tuple, st.weighted_words(d, 3).collect())) == want and len(want) > 30
