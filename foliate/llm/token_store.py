@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,6 +52,20 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+class _Memo(dict):
+    """Values by key, made when they are missing; all are forgotten at the limit."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        made = self[key] = self.make(key)
+        return made
+
+
 class Encoder(dict):
     """Ids of a space-free piece of text as bytes, remembered. Pieces of Latin letters and punctuation go to the
     library's model directly, others through its whole normaliser. A vocabulary whose rules aren't _WORD_RULES
@@ -63,6 +78,7 @@ class Encoder(dict):
         self.whole, self.limit = Tokenizer.from_file(path), limit
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code, self.parts = "H" if self.kind.itemsize == 2 else "I", _Memo(self.part, limit // 2)
         self.letters = _byte_letters()
         told = json.loads(self.whole.to_str())
         self.by_word = all(told.get(k) == v for k, v in _WORD_RULES.items())
@@ -71,21 +87,23 @@ class Encoder(dict):
         if len(self) >= self.limit:
             self.clear()
         if simple := _SIMPLE.fullmatch(piece):
-            ids = []
-            for part in simple.groups():
-                if part:
-                    spelled = part.lower()
-                    if not spelled.isascii():
-                        spelled = "".join(self.letters[b] for b in spelled.encode())
-                    ids += [t.id for t in self.model.tokenize(spelled)]
+            letters, marks = simple.groups()
+            made = (self.parts[letters] if letters else b"") + (self.parts[marks] if marks else b"")
         else:
-            ids = self.whole.encode(piece, add_special_tokens=False).ids
-        made = self[piece] = np.array(ids, dtype=self.kind).tobytes()
+            made = array(self.code, self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = made
         return made
 
+    def part(self, part: str) -> bytes:
+        """Ids of a run of letters or of marks, which stands in many pieces."""
+        spelled = part.lower()
+        if not spelled.isascii():
+            spelled = "".join([self.letters[b] for b in spelled.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def text(self, text: str) -> bytes:
         if not self.by_word:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+            return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
