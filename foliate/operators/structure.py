@@ -47,11 +47,15 @@ def numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def opened(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lines, opens): the lines of a text, and structs (line, dimension) of the first heading of each dimension, in
     the order of lines. Lines stay in their row: no shuffle."""
-    split = docs.select(key, tx.lines(F.col(text)).alias("lines"))
-    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), heading(tx.strip(x)).alias("dimension"))), lambda h: h["dimension"].isNotNull())
-    headed = split.withColumn("heads", found)
-    first = F.filter("heads", lambda h, i: ~F.exists(F.slice("heads", F.lit(1), i), lambda b: b["dimension"] == h["dimension"]))
-    return headed.select(key, "lines", first.alias("opens"))
+
+    def heads(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), heading(tx.strip(x)).alias("dimension"))), lambda h: h["dimension"].isNotNull())
+
+    def first(own: Column) -> Column:
+        return F.filter(own, lambda h, i: ~F.exists(F.slice(own, F.lit(1), i), lambda b: b["dimension"] == h["dimension"]))
+
+    found = tx.let(tx.lines(F.col(text)), lambda lines: F.struct(lines.alias("lines"), tx.let(heads(lines), first).alias("opens")))
+    return docs.select(key, found.alias("_f")).select(key, "_f.lines", "_f.opens")
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
