@@ -133,10 +133,9 @@ def is_noise(line: Column) -> Column:
 
 def without_footnote(line: Column) -> Column:
     """What stands in a line before a footnote that has run into it, and before the last title of an author."""
-    head = F.regexp_extract(line, rf"^((?:(?!{_NOTE_BEGINS}).)*)", 1)
-    named = F.regexp_extract(head, rf"^(.*){_AUTHOR}", 1)
-    before = F.when(head.rlike(_AUTHOR), F.regexp_replace(named, "副$", "")).otherwise(head)
-    return F.regexp_replace(before, "^[ \\[\\]（）()　\t，,；;、]+|[ \\[\\]（）()　\t，,；;、]+$", "")
+    edges = "^[ \\[\\]（）()　\t，,；;、]+|[ \\[\\]（）()　\t，,；;、]+$"
+    cut = tx.let(F.split(line, _NOTE_BEGINS, 2)[0], lambda head: F.when(head.rlike(_AUTHOR), F.regexp_replace(F.regexp_extract(head, rf"^(.*){_AUTHOR}", 1), "副$", "")).otherwise(head))
+    return F.regexp_replace(cut, edges, "")
 
 
 _TABLE_MARK = r"\n*【(?:表格数据·第\d+页|Word表\d+)】"

@@ -31,10 +31,11 @@ def told_lines(lines: Column) -> Column:
     """The lines of a text that aren't blank, with what each one is."""
 
     def told(x: Column, i: Column) -> Column:
-        s = tx.strip(x)
-        bare = cl.without_footnote(s)
-        marks = {"noise": cl.is_noise(s), "meta": s.rlike(cl.META), "title": s.rlike(TITLE), "numbered": s.rlike(cl.NUMBERED), "method": s.rlike(METHOD), "innovation": s.rlike(INNOVATION), "concludes": s.rlike(CONCLUSION), "abstract": s.rlike(ABSTRACT), "abstract_ends": s.rlike(ABSTRACT_ENDS)}
-        return F.struct(i.alias("i"), s.alias("s"), *(v.alias(k) for k, v in marks.items()), bare.alias("bare"), cl.is_noise(bare).alias("bare_noise"))
+        return tx.let(tx.strip(x), lambda s: tx.let(cl.without_footnote(s), lambda bare: marks(s, bare, i)))
+
+    def marks(s: Column, bare: Column, i: Column) -> Column:
+        found = {"noise": cl.is_noise(s), "meta": s.rlike(cl.META), "title": s.rlike(TITLE), "numbered": s.rlike(cl.NUMBERED), "method": s.rlike(METHOD), "innovation": s.rlike(INNOVATION), "concludes": s.rlike(CONCLUSION), "abstract": s.rlike(ABSTRACT), "abstract_ends": s.rlike(ABSTRACT_ENDS)}
+        return F.struct(i.alias("i"), s.alias("s"), *(v.alias(k) for k, v in found.items()), bare.alias("bare"), cl.is_noise(bare).alias("bare_noise"))
 
     return F.filter(F.transform(lines, told), lambda t: t["s"] != "").cast(f"array<{_LINE}>")
 
