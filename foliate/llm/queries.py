@@ -16,6 +16,7 @@ _HOMES = {
     "op8_piece_scan": ("piece_scan", "op8"),
     "op9_decontaminate": ("decontaminate", "op9"),
     "op10_main_text": ("main_text", "op10"),
+    "op12_simhash": ("simhash", "op12"),
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"foliate.llm.{home}"), function) for name, (home, function) in _HOMES.items()}
