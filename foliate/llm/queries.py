@@ -16,6 +16,7 @@ _HOMES = {
     "op8_piece_scan": ("piece_scan", "op8"),
     "op9_decontaminate": ("decontaminate", "op9"),
     "op10_main_text": ("main_text", "op10"),
+    "op11_collocations": ("collocations", "op11"),
     "op12_simhash": ("simhash", "op12"),
 }
 
@@ -43,4 +44,14 @@ ORACLES: dict[str, str] = {
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY doc_id)
  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op11_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(ws) >= k)),
+ c AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+ t AS (SELECT lang, k, phrase, f, ws, unnest(range(1, k)) AS cut FROM c WHERE k > 1),
+ s AS (SELECT t.*, a.f AS l, b.f AS r, CAST(2000000 AS HUGEINT) * t.f // (a.f + b.f) AS score FROM t JOIN c a ON a.lang = t.lang AND a.phrase = array_to_string(t.ws[1 : t.cut], ' ') JOIN c b ON b.lang = t.lang AND b.phrase = array_to_string(t.ws[t.cut + 1 :], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ i AS (SELECT lang, array_to_string(ws[i : i + size - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, ws, f, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT lang, ws, f, k, unnest(range(2, k)) AS size FROM c WHERE k > 2)) GROUP BY 1, 2),
+ x AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 80 * b.f)
+ SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n.n, CAST(score AS BIGINT) AS score FROM x JOIN n ON n.lang = x.lang QUALIFY rank <= 2000""",
 }
