@@ -18,6 +18,7 @@ _HOMES = {
     "op10_main_text": ("main_text", "op10"),
     "op11_collocations": ("collocations", "op11"),
     "op12_simhash": ("simhash", "op12"),
+    "op13_spelling": ("spelling", "op13"),
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"foliate.llm.{home}"), function) for name, (home, function) in _HOMES.items()}
