@@ -44,27 +44,49 @@ def numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.posexplode(tx.lines(F.col(text))).alias("line_no", "line"))
 
 
-def opened(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, lines, opens): the lines of a text, and structs (line, dimension) of the first heading of each dimension, in
-    the order of lines. Lines stay in their row: no shuffle."""
+def openings(lines: Column) -> Column:
+    """Structs (line, dimension) of the first heading of each dimension, in the order of lines.
+
+    A line is stripped only where it may be short enough for a heading, and once.
+    """
 
-    def heads(lines: Column) -> Column:
-        return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), heading(tx.strip(x)).alias("dimension"))), lambda h: h["dimension"].isNotNull())
+    def short(x: Column, i: Column) -> Column:
+        edges = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+        bare = F.when(edges.rlike(tx.BLANK), tx.strip(x)).when(F.length(x) <= HEADING_LENGTH, x)
+        return F.struct(i.alias("line"), bare.alias("bare"))
+
+    likely = F.filter(F.transform(lines, short), lambda h: F.coalesce(F.length(h["bare"]).between(1, HEADING_LENGTH), F.lit(False)))
+    heads = F.filter(F.transform(likely, lambda h: F.struct(h["line"].alias("line"), heading(h["bare"]).alias("dimension"))), lambda h: h["dimension"].isNotNull())
 
     def first(own: Column) -> Column:
-        return F.filter(own, lambda h, i: ~F.exists(F.slice(own, F.lit(1), i), lambda b: b["dimension"] == h["dimension"]))
+        of = F.transform(F.array(*map(F.lit, DIMENSIONS)), lambda d: F.get(F.filter(own, lambda h: h["dimension"] == d), F.lit(0)))
+        return F.array_sort(F.filter(of, lambda h: h.isNotNull()))
+
+    return tx.let(heads, first)
+
 
-    found = tx.let(tx.lines(F.col(text)), lambda lines: F.struct(lines.alias("lines"), tx.let(heads(lines), first).alias("opens")))
+def opened(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, lines, opens): the lines of a text and its openings. Lines stay in their row: no shuffle."""
+    found = tx.let(tx.lines(F.col(text)), lambda lines: F.struct(lines.alias("lines"), openings(lines).alias("opens")))
     return docs.select(key, found.alias("_f")).select(key, "_f.lines", "_f.opens")
 
 
+def sections_of(lines: Column, opens: Column) -> Column:
+    """Structs (dimension, first_line, end_line, content) of a text's sections: each opening's up to the next."""
+
+    def section(h: Column, i: Column) -> Column:
+        first, end = h["line"] + 1, F.coalesce(F.get(opens, i + 1)["line"], F.size(lines))
+        raw = F.array_join(F.slice(lines, first + 1, F.greatest(end - first, F.lit(0))), "\n")
+        return F.struct(h["dimension"].alias("dimension"), first.alias("first_line"), end.alias("end_line"), cl.section_text(h["dimension"], raw).alias("content"))
+
+    return F.transform(opens, section)
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, dimension, first_line, end_line, content): the first heading of each dimension opens its section,
-    which ends before the next opening heading."""
-    at = opened(docs, key, text)
-    bounded = F.transform("opens", lambda h, i: F.struct(h["dimension"].alias("dimension"), (h["line"] + 1).alias("first_line"), F.coalesce(F.get("opens", i + 1)["line"], F.size("lines")).alias("end_line")))
-    each = at.select(key, "lines", F.explode(bounded).alias("s")).select(key, "s.*", F.array_join(F.slice("lines", F.col("s.first_line") + 1, F.greatest(F.col("s.end_line") - F.col("s.first_line"), F.lit(0))), "\n").alias("raw"))
-    return each.select(key, "dimension", "first_line", "end_line", cl.section_text(F.col("dimension"), F.col("raw")).alias("content"))
+    which ends before the next opening heading. Contents are made as rows are, so that a filter on them makes none twice."""
+    each = tx.let(tx.lines(F.col(text)), lambda lines: tx.let(openings(lines), lambda opens: sections_of(lines, opens)))
+    return docs.select(key, F.explode(each).alias("s")).select(key, "s.*")
 
 
 def paragraph_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -67,6 +67,32 @@ def test_conclusion_without_a_heading_is_the_last_running_text(spark):
     assert got["research_conclusion"].lines == [0]
 
 
+def test_texts_of_one_key_are_filled_alone(spark):
+    plain = "这是第一段正文，它的内容比较长，超过了二十个字。"
+    rows = fb.filled_sections(spark.createDataFrame([(1, "摘要\n甲的内容。"), (1, plain), (None, plain)], "doc_id long, text string").selectExpr("*", "1 AS lines", "2 AS opens")).collect()
+    got = sorted((r.doc_id or 0, r.dimension, r.content, r.filled) for r in rows)
+    own = [("core_view", plain, True), ("research_background", plain, True), ("research_conclusion", plain, True)]
+    assert [g for g in got if g[0] == 0] == [(0, *x) for x in own] and (1, "research_background", "甲的内容。", False) in got and {(1, *x) for x in own} <= set(got)
+
+
+def test_spans_stop_and_cross_gaps(spark):
+    text = "三、研究方法与设计\n\n本文采用问卷法，收集数据三百份并分析\n\n第二段不在其中，因为又隔了一行空行"
+    assert filled(spark, text)["research_method"].lines == [0, 2]
+    stopped = "本文采用问卷法，收集数据三百份并做了分析，\n四、结果\n后面的内容不在其中"
+    assert filled(spark, stopped)["research_method"].lines == [0]
+    labels = "这是结论标题之前的正文，它应当被取到。\n图例标签\n\n[1] 甲. 2001.\n六、结语与后续的工作\nab\ncd\n很短的正文在后面，它被取到。"
+    assert filled(spark, labels)["research_conclusion"].lines == [7, 0]
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    d = spark.createDataFrame([(1, "\n".join(["摘要", *(f"这是第{i}行，它没有结束" for i in range(16_000))]))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert st.sections(d).where(F.length("content") > 100_000).count() == 1
+    assert time.perf_counter() - began < 6
+
+
 def words(*rows):
     return [(1, i, float(x), float(x + 12 * len(t)), float(top), t) for i, (x, top, t) in enumerate(rows)]
 
