@@ -96,21 +96,3 @@ def write_backup(tables: dict[str, DataFrame], manifest: DataFrame, folder: str)
 def masked(secret: Column) -> Column:
     """What may be shown of a stored key: whether there is one."""
     return F.when(tx.is_blank(secret), "").otherwise(MASK)
-
-
-def layout_faults(nodes: DataFrame, moved: DataFrame, levels: int = 16) -> DataFrame:
-    """Over categories (id, name, parent_id) and moves (id, parent_id): rows (id, fault) of the moved ones, by the first rule
-    that is broken: unknown, self (its own parent), parent (no such category), circle, name (a sibling of the same name)."""
-    new = moved.dropDuplicates(["id"]).select("id", F.col("parent_id").alias("_to"))
-    after = nodes.join(new, "id", "left").select("id", "name", F.coalesce("_to", "parent_id").alias("parent_id"))
-    up = after.select(F.col("id").alias("_at"), F.col("parent_id").alias("_up"))
-    walk = new.select("id", F.col("_to").alias("_at"), F.lit(False).alias("circle"))
-    for _ in range(levels):
-        walk = walk.join(up, "_at", "left").select("id", F.coalesce("_up", F.lit(0)).alias("_next"), (F.col("circle") | (F.col("_at") == F.col("id"))).alias("circle")).withColumnRenamed("_next", "_at")
-    circles = walk.where("circle").select("id", F.lit(True).alias("_circle"))
-    twins = after.groupBy("parent_id", "name").agg(F.count("*").alias("_same"))
-    known = after.join(twins, ["parent_id", "name"]).select("id", "_same")
-    parents = nodes.select(F.col("id").alias("_to"), F.lit(True).alias("_parent"))
-    rows = new.join(known, "id", "left").join(parents, "_to", "left").join(circles, "id", "left")
-    fault = F.when(F.col("_same").isNull(), "unknown").when(F.col("_to") == F.col("id"), "self").when((F.col("_to") != 0) & F.col("_parent").isNull(), "parent").when(F.col("_circle"), "circle").when(F.col("_same") > 1, "name")
-    return rows.select("id", fault.alias("fault"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.sources.staging import staged
+
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the order."""
@@ -59,26 +61,22 @@ def replace_set(bindings: DataFrame, wanted: DataFrame, owner: str) -> DataFrame
     return without(bindings, wanted, [owner]).unionByName(wanted.distinct())
 
 
-#: Ranges into which the order of a group is cut before its rows are numbered.
-RANGES = 1024
-
-
 def ranked(df: DataFrame, order: str, group: Column | None = None) -> DataFrame:
-    """Adds _n: the place of each row, from 1, in the order of a column of whole numbers, within its group or in all.
+    """Adds _n: the place of each row, from 1, in the order of a column, within its group or in all.
 
-    The values are cut into RANGES equal ranges, which the data alone decide; rows are numbered within group and range, and the
-    ranges before are added up, so that no task sees more of a large group than a range of it.
+    Rows are written in ranges of (group, order) that hold about equal numbers of them, whatever the values are; they are numbered within a
+    range, and the ranges before are added up. No task sees more of a large group than a range of it. Nulls of the
+    group are one group, those of the order come first; rows of one place in the order get places in any order.
     """
-    group = F.lit(0) if group is None else group
-    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = F.floor((F.col("_high") - F.col("_low")) / RANGES) + 1
-    cut = df.withColumn("_group", group).join(F.broadcast(ends)).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
-    inner = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_group", "_range").orderBy(order)))
-    sizes = cut.groupBy("_group", "_range").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_size")).drop("_size")
-    again = before.withColumnsRenamed({"_group": "_g", "_range": "_r"})
-    joined = inner.join(again, F.col("_group").eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
-    return joined.withColumn("_n", F.col("_n") + F.col("_before")).drop("_group", "_range", "_g", "_r", "_before")
+    placed = staged(df.withColumn("_group", F.lit(0) if group is None else group).repartitionByRange("_group", order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inner = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part", "_group").orderBy(order)))
+    # a row for each range and group: groups lie side by side, so most ranges have a few, or one
+    sizes = placed.groupBy("_part", "_group").agg(F.count("*").alias("_size"))
+    split = sizes.join(sizes.groupBy("_group").agg(F.count("*").alias("_parts")).where("_parts > 1").select(F.col("_group").alias("_g")), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
+    before = split.withColumn("_before", F.sum("_size").over(Window.partitionBy("_group").orderBy("_part")) - F.col("_size"))
+    again = before.select(F.col("_part").alias("_p"), F.col("_group").alias("_g"), "_before")
+    joined = inner.join(F.broadcast(again), (F.col("_part") == F.col("_p")) & F.col("_group").eqNullSafe(F.col("_g")), "left")
+    return joined.withColumn("_n", F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_group", "_part", "_p", "_g", "_before")
 
 
 def numbered(df: DataFrame, name: Column, order: str, separator: str = "_", first: int = 1) -> DataFrame:
@@ -117,24 +115,6 @@ def import_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(known, "file_hash", "left").withColumn("_first", first).withColumn("code", code).drop("_known", "_first")
 
 
-def tag_tree(tags: DataFrame, levels: int = 16) -> DataFrame:
-    """Categories below the roots (parent 0): depth, path of names, and a key that sorts them in pre-order.
-
-    A category deeper than ``levels``, or in a circle, has no row; the tag table holds some hundreds of rows.
-    """
-    own = tags.where("tag_type = 1").select("id", "tag_name", "parent_id", "sort_order")
-    place = F.struct(F.col("sort_order").alias("s"), F.col("id").alias("i"))
-    layer = own.where("parent_id = 0").select("id", "tag_name", F.lit(0).alias("depth"), F.array("tag_name").alias("path"), F.array(place).alias("key"))
-    out = layer
-    for depth in range(1, levels + 1):
-        up = layer.select(F.col("id").alias("parent_id"), F.col("path").alias("_p"), F.col("key").alias("_k"))
-        layer = own.join(up, "parent_id").select("id", "tag_name", F.lit(depth).alias("depth"), F.concat("_p", F.array("tag_name")).alias("path"), F.concat("_k", F.array(place)).alias("key"))
-        if not layer.take(1):
-            break
-        out = out.union(layer)
-    return out
-
-
 def with_new_ids(rows: DataFrame, table: DataFrame, order: str) -> DataFrame:
     """Adds ids that follow the table's greatest, in the order of a column of whole numbers that tells the rows apart."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))

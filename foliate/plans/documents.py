@@ -11,6 +11,7 @@ from foliate.functions import anchors as an
 from foliate.functions import text as tx
 from foliate.operators import layout as lo
 from foliate.operators import search as se
+from foliate.operators import spatial as spa
 from foliate.operators import structure as st
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
@@ -289,10 +290,22 @@ def _boxes(spark, sf_dir) -> DataFrame:
 _BOXES = "SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS pos, CAST(l_quantity * 8.0 AS DOUBLE) AS x0, CAST(l_quantity * 8.0 + 30 AS DOUBLE) AS x1, CAST(l_linenumber * 5.0 AS DOUBLE) AS top, 'w' || l_partkey AS text FROM lineitem"
 
 
-@query("anc08_words_in_rectangle", f"SELECT page, min(pos) AS first, max(pos) AS last FROM ({_BOXES}) WHERE x0 <= 200 AND x1 >= 50 AND top <= 20 AND top + 4 >= 8 GROUP BY page")
+@query(
+    "anc08_words_in_rectangle",
+    with_views(
+        f"""SELECT n.id, min(pos) AS first, max(pos) AS last FROM (SELECT *, CAST(regexp_extract(paragraph_pos, '{_RECT}', 4) AS DOUBLE) AS right_edge FROM note WHERE regexp_matches(paragraph_pos, '{_RECT}')) n
+ LEFT JOIN (SELECT l_orderkey AS lit_id, l_partkey % 6 AS page, l_linenumber AS pos, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_quantity AS DOUBLE) + 8 AS x1, l_linenumber * 9.0 AS top, l_linenumber * 9.0 + 8 AS bottom FROM lineitem) w
+ ON w.lit_id = n.lit_id AND w.page = CAST(regexp_extract(paragraph_pos, '{_RECT}', 1) AS BIGINT) AND x0 <= right_edge AND x1 >= 10 AND top <= 60 AND bottom >= 20 GROUP BY n.id""",
+        "note",
+    ),
+)
 def anc08(spark, sf_dir):
-    inside = (F.col("x0") <= 200) & (F.col("x1") >= 50) & (F.col("top") <= 20) & (F.col("top") + 4 >= 8)
-    return _boxes(spark, sf_dir).where(inside).groupBy("page").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    """All rectangles of notes over the words of their pages; an order's lines are the words of a paper."""
+    codes = _anchored(spark, sf_dir).select("id", "lit_id", F.explode(F.array("a")).alias("a"))  # parsed once a row
+    notes = codes.where("a.kind = 'pdf'").select("id", "lit_id", "a.page", *(F.col(f"a.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    x, y = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 9.0
+    boxes = br.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lit_id"), (F.col("l_partkey") % 6).alias("page"), F.col("l_linenumber").cast("long").alias("pos"), x.alias("x0"), (x + 8).alias("x1"), y.alias("top"), (y + 8).alias("bottom"))
+    return spa.spans(notes, boxes, ["lit_id", "page"])
 
 
 @query("anc09_line_boxes", f"SELECT page, CAST(floor(top / 10) AS BIGINT) AS block, min(x0) AS x0, max(x1) AS x1, min(top) AS top, min(pos) AS first FROM ({_BOXES}) GROUP BY page, floor(top / 10)")

@@ -10,6 +10,7 @@ from foliate.operators import library as li
 from foliate.operators import report as rp
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
+from foliate.operators import trees as tr
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources.bridge import with_views
@@ -125,10 +126,12 @@ def snk07(spark, sf_dir):
 @query("snk08_batch_export", with_views(f"SELECT lib.id, CASE WHEN r.lit_id IS NULL THEN 'not parsed' END AS message, CAST(floor(100.0 * row_number() OVER (PARTITION BY category_id ORDER BY lib.id) / count(*) OVER (PARTITION BY category_id)) AS INT) AS percent FROM lib LEFT JOIN ({_LATEST}) r ON r.lit_id = lib.id", "lib", "report"))
 def snk08(spark, sf_dir):
     """One batch for each category."""
-    batch = Window.partitionBy("category_id")
+    papers = br.library(spark, sf_dir).select("id", "category_id")
     have = br.reports(spark, sf_dir).select(F.col("lit_id").alias("id")).distinct().withColumn("_in", F.lit(True))
-    percent = F.floor(100 * F.row_number().over(batch.orderBy("id")) / F.count("*").over(batch)).cast("int")
-    return br.library(spark, sf_dir).select("id", "category_id").join(have, "id", "left").select("id", F.when(F.col("_in").isNull(), "not parsed").alias("message"), percent.alias("percent"))
+    sizes = papers.groupBy("category_id").agg(F.count("*").alias("_all"))
+    percent = F.floor(100 * F.col("_n") / F.col("_all")).cast("int")
+    placed = tb.ranked(papers, "id", F.col("category_id")).join(sizes, "category_id")
+    return placed.join(have, "id", "left").select("id", F.when(F.col("_in").isNull(), "not parsed").alias("message"), percent.alias("percent"))
 
 
 # backups
@@ -308,13 +311,24 @@ def flt16(spark, sf_dir):
     return br.table(spark, sf_dir, "events").select("event_id", li.masked(secret).alias("shown"))
 
 
-@query("rec04_layout_faults", with_views("SELECT id, CASE WHEN id >= 900 THEN 'unknown' WHEN id % 5 = 0 THEN 'self' WHEN id % 5 = 1 THEN 'parent' END AS fault FROM (SELECT id FROM tag WHERE tag_type = 1 AND id >= 100 UNION ALL SELECT id + 1000 FROM tag WHERE tag_type = 1 AND id >= 100)", "tag"))
+_MOVES = """moves AS (SELECT id, CASE id % 8 WHEN 0 THEN id WHEN 1 THEN 777 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE id + 10 END AS parent_id FROM c WHERE id >= 100 AND (id < 1000 OR id % 5 = 4)
+ UNION ALL SELECT id + 1000000000, 0 FROM c WHERE id >= 100 AND id < 1000), after AS (SELECT c.id, tag_name AS name, coalesce(moves.parent_id, c.parent_id) AS parent_id FROM c LEFT JOIN moves ON moves.id = c.id)"""
+
+
+@query(
+    "rec04_layout_faults",
+    f"""WITH RECURSIVE tag AS ({br.SQL["tag"]}), deep AS ({br.SQL["deep"]}), c AS (SELECT id, tag_name, parent_id FROM tag WHERE tag_type = 1 UNION ALL SELECT id, tag_name, parent_id FROM deep), {_MOVES},
+ up AS (SELECT id AS start, parent_id AS node FROM after WHERE id IN (SELECT id FROM moves) UNION SELECT up.start, after.parent_id FROM up JOIN after ON after.id = up.node),
+ twins AS (SELECT parent_id, name FROM after GROUP BY parent_id, name HAVING count(*) > 1)
+ SELECT m.id, CASE WHEN a.id IS NULL THEN 'unknown' WHEN m.parent_id = m.id THEN 'self' WHEN m.parent_id <> 0 AND m.parent_id NOT IN (SELECT id FROM c) THEN 'parent' WHEN EXISTS (SELECT 1 FROM up WHERE up.start = m.id AND up.node = m.id) THEN 'circle' WHEN EXISTS (SELECT 1 FROM twins t WHERE t.parent_id = a.parent_id AND t.name = a.name) THEN 'name' END AS fault FROM moves m LEFT JOIN after a ON a.id = m.id""",
+)
 def rec04(spark, sf_dir):
-    nodes = br.tags(spark, sf_dir).where("tag_type = 1").select("id", F.col("tag_name").alias("name"), "parent_id")
-    leaves = nodes.where("id >= 100")
-    to = F.when(F.col("id") % 5 == 0, F.col("id")).when(F.col("id") % 5 == 1, 777).when(F.col("id") % 5 == 2, 0).otherwise(1)
-    moved = leaves.select("id", to.cast("long").alias("parent_id"))
-    return li.layout_faults(nodes, moved.union(leaves.select(F.col("id") + 1000, F.lit(0).cast("long"))))
+    """Moves of leaves and of inner nodes, of which some come to stand below themselves."""
+    nodes = br.categories(spark, sf_dir).select("id", F.col("tag_name").alias("name"), "parent_id")
+    kind = F.col("id") % 8
+    to = F.when(kind == 0, F.col("id")).when(kind == 1, 777).when(kind == 2, 0).when(kind == 3, 1).otherwise(F.col("id") + 10)
+    moved = nodes.where("id >= 100 AND (id < 1000 OR id % 5 = 4)").select("id", to.cast("long").alias("parent_id"))
+    return tr.layout_faults(nodes, moved.union(nodes.where("id >= 100 AND id < 1000").select(F.col("id") + 1_000_000_000, F.lit(0).cast("long"))))
 
 
 # sets, orders and small functions

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliate.functions import text as tx
 from foliate.operators import search as se
 from foliate.operators import tables as tb
+from foliate.operators import trees as tr
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources.bridge import with_views
@@ -375,26 +376,30 @@ def dml20(spark, sf_dir):
 # trees
 
 
-_TREE = """, RECURSIVE_ AS (SELECT 1) SELECT r.id, r.tag_name, 0 AS depth, r.tag_name AS path, printf('%06d', r.sort_order) AS place FROM tag r WHERE r.tag_type = 1 AND r.parent_id = 0
- UNION ALL SELECT c.id, c.tag_name, 1, r.tag_name || '/' || c.tag_name, printf('%06d', r.sort_order) || '/' || printf('%06d', c.sort_order) FROM tag c JOIN tag r ON c.parent_id = r.id WHERE c.tag_type = 1"""
+_CATEGORIES = "SELECT id, tag_name, parent_id, sort_order FROM tag WHERE tag_type = 1 UNION ALL SELECT id, tag_name, parent_id, sort_order FROM deep"
 
 
-@query("rec01_category_tree", with_views(_TREE.replace(", RECURSIVE_ AS (SELECT 1) ", ""), "tag"))
+def _tree(select: str) -> str:
+    """SQL over the categories, level by level."""
+    views = f"tag AS ({br.SQL['tag']}), deep AS ({br.SQL['deep']}), c AS ({_CATEGORIES})"
+    return f"""WITH RECURSIVE {views}, t AS (SELECT id, tag_name, 0 AS depth, tag_name AS path, printf('%06d', sort_order) || '.' || printf('%012d', id) AS place FROM c WHERE parent_id = 0
+ UNION ALL SELECT c.id, c.tag_name, t.depth + 1, t.path || '/' || c.tag_name, t.place || '/' || printf('%06d', c.sort_order) || '.' || printf('%012d', c.id) FROM c JOIN t ON c.parent_id = t.id) {select}"""
+
+
+@query("rec01_category_tree", _tree("SELECT * FROM t"))
 def rec01(spark, sf_dir):
-    tree = tb.tag_tree(br.tags(spark, sf_dir))
-    place = F.array_join(F.transform("key", lambda k: F.lpad(k["s"].cast("string"), 6, "0")), "/")
+    tree = tr.tag_tree(br.categories(spark, sf_dir))
+    place = F.array_join(F.transform("key", lambda k: F.concat_ws(".", F.lpad(k["s"].cast("string"), 6, "0"), F.lpad(k["i"].cast("string"), 12, "0"))), "/")
     return tree.select("id", "tag_name", "depth", F.array_join("path", "/").alias("path"), place.alias("place"))
 
 
-@query("rec02_indented_options", with_views("SELECT id, repeat('　', depth) || CASE WHEN depth > 0 THEN '└ ' ELSE '' END || tag_name AS label, row_number() OVER (ORDER BY place, id) AS place FROM (" + _TREE.replace(", RECURSIVE_ AS (SELECT 1) ", "") + ")", "tag"))
+@query("rec02_indented_options", _tree("SELECT id, repeat('　', depth) || CASE WHEN depth > 0 THEN '└ ' ELSE '' END || tag_name AS label, row_number() OVER (ORDER BY place) AS place FROM t"))
 def rec02(spark, sf_dir):
-    tree = tb.tag_tree(br.tags(spark, sf_dir))
+    tree = tr.tag_tree(br.categories(spark, sf_dir))
     label = F.concat(F.repeat(F.lit("　"), F.col("depth")), F.when(F.col("depth") > 0, "└ ").otherwise(""), F.col("tag_name"))
-    return tree.select("id", label.alias("label"), F.row_number().over(Window.orderBy("key")).alias("place"))
+    return tb.ranked(tree.select("id", label.alias("label"), "key"), "key").select("id", "label", F.col("_n").alias("place"))
 
 
-@query("rec03_descendants", with_views("SELECT p.id AS ancestor, c.id AS descendant FROM tag p JOIN tag c ON c.parent_id = p.id WHERE p.tag_type = 1 AND c.tag_type = 1", "tag"))
+@query("rec03_descendants", _tree(", d AS (SELECT parent_id AS ancestor, id AS descendant FROM c WHERE parent_id <> 0 UNION ALL SELECT c.parent_id, descendant FROM d JOIN c ON c.id = d.ancestor WHERE c.parent_id <> 0) SELECT * FROM d"))
 def rec03(spark, sf_dir):
-    tree = tb.tag_tree(br.tags(spark, sf_dir))
-    above = F.explode(F.slice(F.transform("key", lambda k: k["i"]), 1, F.size("key") - 1))
-    return tree.where("depth > 0").select(above.alias("ancestor"), F.col("id").alias("descendant"))
+    return tr.descendants(br.categories(spark, sf_dir).select("id", "parent_id"))

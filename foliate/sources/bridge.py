@@ -41,6 +41,15 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.union(leaves).union(labels).toDF("id", "tag_type", "tag_name", "parent_id", "sort_order")
 
 
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories among the tags, and below a root for each forty documents a chain of them."""
+    d = F.col("doc_id")
+    deep = table(spark, sf_dir, "documents").select(
+        (d + 1000).alias("id"), F.lit(1).alias("tag_type"), F.concat_ws("-", "source", d.cast("string")).alias("tag_name"), F.when(d % 40 == 0, 0).otherwise(d + 999).cast("long").alias("parent_id"), (d % 7).cast("int").alias("sort_order")
+    )
+    return tags(spark, sf_dir).where("tag_type = 1").union(deep)
+
+
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     parts = [labels.where(when).select((F.col("doc_id") * 10 + i).alias("id"), F.col("doc_id").alias("lit_id"), F.lit(200 + i).cast("long").alias("tag_id")) for i, when in enumerate(("quality = 1", "toxic = 1", "doc_id % 3 = 0"), 1)]
@@ -89,6 +98,7 @@ SQL = {
     "tag": """SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, 1 AS tag_type, r_name AS tag_name, CAST(0 AS BIGINT) AS parent_id, CAST(r_regionkey AS INT) AS sort_order FROM region
  UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), 1, n_name, CAST(n_regionkey + 1 AS BIGINT), CAST(n_nationkey AS INT) FROM nation
  UNION ALL SELECT CAST(201 AS BIGINT), 2, 'high-quality', CAST(0 AS BIGINT), 1 UNION ALL SELECT CAST(202 AS BIGINT), 2, 'toxic', CAST(0 AS BIGINT), 2 UNION ALL SELECT CAST(203 AS BIGINT), 2, 'ASIA', CAST(0 AS BIGINT), 3""",
+    "deep": "SELECT doc_id + 1000 AS id, source || '-' || doc_id AS tag_name, CASE WHEN doc_id % 40 = 0 THEN 0 ELSE doc_id + 999 END AS parent_id, CAST(doc_id % 7 AS INT) AS sort_order FROM documents",
     "bind": """SELECT doc_id * 10 + 1 AS id, doc_id AS lit_id, CAST(201 AS BIGINT) AS tag_id FROM labels WHERE quality = 1
  UNION ALL SELECT doc_id * 10 + 2, doc_id, CAST(202 AS BIGINT) FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id * 10 + 3, doc_id, CAST(203 AS BIGINT) FROM labels WHERE doc_id % 3 = 0""",
     "note": """SELECT conv_id * 100 + turn AS id, conv_id AS lit_id, CASE WHEN role = 'system' THEN 'global' ELSE 'paragraph' END AS note_type,

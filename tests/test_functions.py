@@ -8,6 +8,7 @@ from foliate.functions import text as tx
 from foliate.operators import layout as lo
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
+from foliate.operators import trees as tr
 from foliate.operators.search import Filters, period, search
 from foliate.streaming import log as sl
 
@@ -117,7 +118,7 @@ def test_tables_and_trees(spark):
     assert sorted(map(tuple, tb.upsert(rows, rows.selectExpr("id + 1 AS id", "'z' AS v", "9 AS n"), "id", only_new=("n",)).collect())) == [(1, "a", 1), (2, "z", 2), (3, "z", 9)]
     assert sorted(map(tuple, tb.patch(rows, rows.selectExpr("1 AS id", "'q' AS v", "5 AS other"), "id").collect())) == [(1, "q", 1), (2, "b", 2)]
     tags = spark.createDataFrame([(1, 1, "a", 0, 2), (2, 1, "b", 0, 1), (3, 1, "c", 1, 1), (4, 1, "d", 3, 1), (5, 1, "loop", 6, 1), (6, 1, "loop2", 5, 1)], "id long, tag_type int, tag_name string, parent_id long, sort_order int")
-    assert [(r.id, r.depth) for r in tb.tag_tree(tags).orderBy("key").collect()] == [(2, 0), (1, 0), (3, 1), (4, 2)]
+    assert [(r.id, r.depth) for r in tr.tag_tree(tags).orderBy("key").collect()] == [(2, 0), (1, 0), (3, 1), (4, 2)]
 
 
 def test_lines_of_words(spark):

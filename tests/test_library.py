@@ -11,6 +11,7 @@ from foliate.operators import layout as lo
 from foliate.operators import library as li
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
+from foliate.operators import trees as tr
 
 PAPER = """一种新设计
 张三
@@ -121,9 +122,9 @@ def test_gutters_of_bands(spark):
 def test_layout_faults(spark):
     nodes = spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, "c", 2), (4, "b", 0), (5, "e", 0)], "id long, name string, parent_id long")
     moves = spark.createDataFrame([(1, 3), (4, 1), (5, 5), (9, 0), (3, 77)], "id long, parent_id long")
-    got = {r.id: r.fault for r in li.layout_faults(nodes, moves).collect()}
+    got = {r.id: r.fault for r in tr.layout_faults(nodes, moves).collect()}
     assert got == {1: None, 4: "name", 5: "self", 9: "unknown", 3: "parent"}
-    circle = li.layout_faults(nodes, spark.createDataFrame([(1, 3), (1, 3)], "id long, parent_id long")).collect()
+    circle = tr.layout_faults(nodes, spark.createDataFrame([(1, 3), (1, 3)], "id long, parent_id long")).collect()
     assert [(r.id, r.fault) for r in circle] == [(1, "circle")]
 
 
