@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 
 from foliate.llm.shared import bounded
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|textarea|title|iframe|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\b[^>]*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_OPENS = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+#: A tag whose quoted values, if any, hold no angle brackets.
+_PLAIN = re.compile(r"((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+_MARK, _COMMENT_ENDS = re.compile("[>\"']"), re.compile("--!?>")
+#: Elements whose content is no markup: only their own closing tag ends them.
+_RAW = re.compile(r"<(script|style|noscript|textarea|title|iframe|xmp|noembed|noframes)\b", re.I)
+_RAW_ENDS = {name: re.compile(rf"</{name}\b", re.I) for name in "script style noscript textarea title iframe xmp noembed noframes".split()}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of page furniture in class, id and role attributes, as parts between dashes, underscores and case changes.
 _FURNITURE = frozenset(
@@ -80,6 +79,59 @@ def _furniture(tag: str, attributes: str, article: bool) -> tuple[bool, bool, bo
     return tag in _FURNITURE_TAGS or (tag == "header" and not article), named, inside and not (named and tag == "article")
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of tags in order; no name for what isn't shown: comments, declarations, and elements without markup.
+
+    A ">" within quotes ends no tag, unless the quotes never end. Each place is gone over a bounded number of times: behind the last
+    ">" of the page nothing is a tag, and an opening quote from which no tag could be ended is remembered.
+    """
+    last, dead, at = page.rfind(">"), set(), 0
+
+    def ending(i: int) -> int:
+        """Where the ">" of a tag is whose attributes begin at i; -1 without one outside quotes."""
+        passed = []
+        while i <= last and (mark := _MARK.search(page, i)):
+            q = mark.start()
+            if page[q] == ">":
+                return q
+            if q in dead:
+                break
+            passed.append(q)
+            i = page.find(page[q], q + 1) + 1
+            if not i:
+                break
+        dead.update(passed)
+        return -1
+
+    while 0 <= (start := page.find("<", at)) < last:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = _COMMENT_ENDS.search(page, start + 4)
+            at = end.end() if end else len(page)
+            yield start, at, "", "", ""
+            continue
+        opens = _OPENS.match(page, start)
+        if not opens:
+            if page[start + 1] in "!?/":
+                at = page.find(">", start + 2) + 1
+                yield start, at, "", "", ""
+            continue
+        plain = _PLAIN.match(page, opens.end())
+        end = plain.end() - 1 if plain else ending(opens.end())
+        if end >= 0 and not opens[1] and (raw := _RAW.match(page, start)):
+            closing = _RAW_ENDS[raw[1].lower()].search(page, end + 1)
+            at = page.find(">", closing.end()) + 1 if closing and closing.end() <= last else len(page)
+            yield start, at, "", "", ""
+            continue
+        if end < 0:
+            end = page.find(">", opens.end())
+        at = end + 1
+        yield start, at, opens[1], opens[2].lower(), page[opens.end() : end]
+    start = page.find("<!--", at)
+    if start >= 0:  # a comment that never ends
+        yield start, len(page), "", "", ""
+
+
 def page_blocks(page: str) -> tuple[list[Block], list[Part]]:
     """Blocks with some text, in page order, references decoded, white space within a block made one space; and the
     parts of the page that they stand in, the first being the page itself."""
@@ -126,15 +178,12 @@ def page_blocks(page: str) -> tuple[list[Block], list[Part]]:
             parts[i].wraps = True
             i = parts[i].above
 
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            add(page[at : token.start()])
-        at = token.end()
-        tag = token[3] or token[6]
+    for start, end, closing, tag, attributes in tokens(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        closing = token[2] if token[3] else token[5]
         if tag == "a":
             link = 0 if closing else 1
         elif tag == "br":
@@ -154,9 +203,8 @@ def page_blocks(page: str) -> tuple[list[Block], list[Part]]:
                 heading = True
             elif tag in _BLOCK:
                 heading = False
-            attributes = token[4] if token[3] else token[7]
-            if not (attributes or "").endswith("/"):
-                by_tag, named, begins = _furniture(tag, attributes or "", article)
+            if not attributes.endswith("/"):
+                by_tag, named, begins = _furniture(tag, attributes, article)
                 if begins or tag == "h1":
                     wrap()
                 if by_tag or named:

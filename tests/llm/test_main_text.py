@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -95,3 +96,20 @@ def test_table(spark):
     assert len(got) == len(rows) and all(by[i].text == w and by[i].n_chars == len(w) for i, (_, w) in enumerate(PAGES.values()))
     assert by[100].text == by[101].text == "" and by[100].n_chars == 0
     assert mt.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<p ", '<p a="', "<a href='", '<textarea x="', '<p ">" ', "<!-", "</", "<script></script ", "<p a=\"'>", "<!--", "<p \">'", "<div class='"])
+@pytest.mark.parametrize("tail", ["", ">", '">', "'"])
+def test_unclosed_tags_and_quotes_take_linear_time(unit, tail):
+    took = {}
+    for size in (250_000, 1_000_000):
+        began = time.perf_counter()
+        for _ in mt.tokens(unit * (size // len(unit)) + tail):
+            pass
+        took[size] = time.perf_counter() - began
+    assert took[1_000_000] < max(12 * took[250_000], 1)
+
+
+@pytest.mark.parametrize(("page", "want"), [("a<b c='>'>d", [("b", " c='>'")]), ("a<b c='>d", [("b", " c='")]), ("<title>a<b></title x>c<i>", [("", ""), ("i", "")]), ("<!--a>b", [("", "")]), ("<!-- a --!>b<!x>", [("", ""), ("", "")]), ("<script a='></script>", [("script", " a='"), ("script", "")]), ("x < y <1> <p", []), ("</P\n>", [("p", "\n")]), ("a<b <!-- c", [("", "")])])
+def test_tokens(page, want):
+    assert [(name, attributes) for _, _, _, name, attributes in mt.tokens(page)] == want
