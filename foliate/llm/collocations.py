@@ -4,7 +4,7 @@ Each text is cut into chunks where the hash of the next words says so, so that e
 stand. A chunk runs on over the words that open the next one, which makes every n-gram lie whole in some chunk; it counts in the
 chunk that owns its first word, so that overlaps count once. The dictionary holds distinct chunks and how often they occur;
 n-grams are counted within it, weighted. They are counted by hash, length by length, and only where both parts that are one
-word shorter may be frequent; the phrases themselves are counted in a last pass, for those hashes alone.
+word shorter may be frequent; with each hash goes a place where it stands, from which a frequent phrase is read in the end.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from foliate.llm.shared import as_bytes, blocks, bounded, byte_class, discard, l
 PERIOD, MOST_WORDS = 32, 256
 #: Bytes of chunks that a task turns into arrays at a time; entries that it adds up before it passes them on.
 BLOCK, ENTRIES = 3 << 20, 2_000_000
-PHRASES = 200_000
+#: Bits of a place that tell the word within its chunk, and phrases that all tasks hold to look up their parts.
+PLACE, KNOWN = 9, 100_000
 #: Bits of a filter for each entry, and the logarithm of the most that it has (32 MB). A filter with too few of them lets more pass, and loses none.
 FILTER_BITS, FILTER_MOST = 16, 28
 #: Logarithm of the bits that a task of its making sets.
@@ -85,9 +86,13 @@ class Filter:
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def frequent(counted: DataFrame, least: int) -> Filter:
-    """A filter over the hashes (h) whose sum of n reaches least, made in pieces by tasks; its size has a bound, whatever their number."""
-    kept = stored(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "frequent")
+def frequent(counted: DataFrame, least: int) -> DataFrame:
+    """Rows (h, n, place) of the hashes whose sum of n reaches least; written."""
+    return stored(counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("place").alias("place")).where(F.col("n") >= least), "frequent")
+
+
+def filter_of(kept: DataFrame) -> Filter:
+    """A filter over hashes (h), made in pieces by tasks; its size has a bound, whatever their number."""
     log = min(max((kept.count() * FILTER_BITS).bit_length(), PIECE), FILTER_MOST)
     slot = F.shiftrightunsigned("h", 64 - log)
 
@@ -97,9 +102,7 @@ def frequent(counted: DataFrame, least: int) -> Filter:
         return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     bits = kept.select(F.shiftright(slot, PIECE).alias("at"), slot.bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int").alias("bit")).distinct()
-    made = Filter(log, ((r.at, bytes(r.bits)) for r in bits.groupBy("at").applyInArrow(piece, "at long, bits binary").collect()))
-    discard(kept)
-    return made
+    return Filter(log, ((r.at, bytes(r.bits)) for r in bits.groupBy("at").applyInArrow(piece, "at long, bits binary").collect()))
 
 
 class Grams:
@@ -111,7 +114,9 @@ class Grams:
         self.row = np.repeat(np.arange(low, high), size)
         langs = batch.column(0).to_pylist()[low:high]
         lang = np.array([lang_of.setdefault(x, hash_of(x)) for x in langs], dtype=np.uint64)
-        self.own = np.arange(len(self.row)) - np.repeat(stream.bounds[:-1], size) < batch.column(2).to_numpy()[self.row]
+        word = np.arange(len(self.row)) - np.repeat(stream.bounds[:-1], size)
+        self.own = word < batch.column(2).to_numpy()[self.row]
+        self.place = (batch.column(4).to_numpy()[self.row] << PLACE) + word
         self.weight = batch.column(3).to_numpy()[self.row]
         self.piece = np.cumsum(stream.buffer == 0x0A)[stream.start]
         self.word = stream.hashes()
@@ -141,24 +146,28 @@ def hash_of(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang)
 
 
-def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(h: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal hashes one, with the sum of n and the least place."""
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
+    h, n, place = h[order], n[order], place[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
-    return h[at], np.add.reduceat(n, at) if len(at) else n[:0]
+    return (h[at], np.add.reduceat(n, at), np.minimum.reduceat(place, at)) if len(at) else (h, n, place)
 
 
 def _hashed(k: int, filters):
-    """Rows (h, n) of the n-grams of length k of rows (lang, chunk, owned, n), added up within the task."""
+    """Rows (h, n, place) of the n-grams of length k of rows (lang, chunk, owned, n, id), added up within the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged():
+            held[:] = [summed(*(np.concatenate([x[i] for x in held]) for i in (0, 1, 2)))]
+            return len(held[0][0])
 
         def out():
-            h, n = summed(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
-            held[:] = [(h, n)]
-            return len(h)
+            h, n, place = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(place)], names=["h", "n", "place"])
 
         for batch in batches:
             blobs = as_bytes(batch.column(1))
@@ -166,77 +175,40 @@ def _hashed(k: int, filters):
                 grams = Grams(batch, low, high, blobs, langs)
                 for at_k, at, h in grams.candidates(k, filters.value):
                     if at_k == k and len(at):
-                        held.append(summed(h, grams.weight[at]))
-                if sum(len(h) for h, _ in held) > ENTRIES and out() > ENTRIES // 2:
-                    yield _counts(*held.pop())
-        if held:
-            out()
-            yield _counts(*held.pop())
-
-    return run
-
-
-def _counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-
-def _phrases(longest: int, filters):
-    """Rows (lang, k, phrase, n) of the n-grams that pass the filters of their own length, too."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs: dict[str, int] = {}
-        held: dict[tuple[str, int, bytes], int] = {}
-
-        def out():
-            rows = pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in held], pa.string()),
-                pa.array([x[1] for x in held], pa.int32()),
-                pa.array([x[2] for x in held], pa.binary()).cast(pa.string()),
-                pa.array(list(held.values()), pa.int64()),
-            ], names=["lang", "k", "phrase", "n"])
-            held.clear()
-            return rows
-
-        for batch in batches:
-            blobs, names = as_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for low, high in blocks(blobs, BLOCK):
-                grams = Grams(batch, low, high, blobs, langs)
-                raw, start, end = grams.stream.buffer.tobytes(), grams.stream.start, grams.stream.end
-                for k, at, h in grams.candidates(longest, filters.value):
-                    at, h = (x[filters.value[k - 1].has(h)] for x in (at, h))
-                    order = np.argsort(h, kind="stable")
-                    at, h = at[order], h[order]
-                    if not len(h):
-                        continue
-                    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    for x, n in zip(at[new].tolist(), np.add.reduceat(grams.weight[at], new).tolist(), strict=True):
-                        name = names[grams.row[x]], k, b" ".join([raw[start[y] : end[y]] for y in range(x, x + k)])
-                        held[name] = held.get(name, 0) + n
-                if len(held) > PHRASES:
+                        held.append(summed(h, grams.weight[at], grams.place[at]))
+                if sum(len(x[0]) for x in held) > ENTRIES and merged() > ENTRIES // 2:
                     yield out()
-        yield out()
+        if held:
+            merged()
+            yield out()
 
     return run
 
 
 def dictionary(docs: DataFrame, longest: int) -> DataFrame:
-    """Distinct chunks (lang, chunk, owned) of rows (lang, text), and how often each occurs (n); written."""
+    """Distinct chunks (lang, chunk, owned) of rows (lang, text), how often each occurs (n), and their ids; written."""
     parsed = bounded(docs).mapInArrow(_parsed(longest - 1), "lang string, chunk string, owned int, n long")
-    return stored(parsed.groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n")), "chunks")
+    return stored(parsed.groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "chunks")
 
 
 def frequent_phrases(chunked: DataFrame, longest: int, least: int) -> DataFrame:
     """Rows (lang, k, phrase, f) of all phrases of up to longest words that occur at least so often; written."""
-    spark, filters = chunked.sparkSession, []
+    spark, filters, tables = chunked.sparkSession, [], []
     for k in range(1, longest + 1):
         known = spark.sparkContext.broadcast(filters)
-        filters = [*filters, frequent(chunked.mapInArrow(_hashed(k, known), "h long, n long"), least)]
+        tables.append(frequent(chunked.mapInArrow(_hashed(k, known), "h long, n long, place long"), least))
         known.destroy()
-    known = spark.sparkContext.broadcast(filters)
-    found = chunked.mapInArrow(_phrases(longest, known), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    found = stored(found, "phrases")
-    known.destroy()
-    return found
+        if k < longest:
+            filters = [*filters, filter_of(tables[-1])]
+    found = tables[0].withColumn("k", F.lit(1))
+    for k, more in enumerate(tables[1:], 2):
+        found = found.unionByName(more.withColumn("k", F.lit(k)))
+    asked = found.select(F.shiftright("place", PLACE).alias("id"), F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("word"), "k", F.col("n").alias("f"))
+    own = F.filter(F.split(F.translate("chunk", "\n", " "), " "), lambda w: w != "")
+    phrases = chunked.select("id", "lang", "chunk").join(listed(asked), "id").select("lang", "k", F.array_join(F.slice(own, F.col("word") + 1, F.col("k")), " ").alias("phrase"), "f")
+    phrases = stored(phrases, "phrases")
+    discard(*tables)
+    return phrases
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, cover: int = 80, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -248,14 +220,14 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, cover: int
     floor(2000000 * a / (l + r)) counts, of equal ones the first. A phrase that lies in a longer one with cover percent of
     its occurrences or more goes. Order: score and a descending, phrase; ties can't remain. Null and empty texts have no
     words; repeated rows count again; a language without such phrases, or an empty table, gives no rows; other columns
-    are not read. N-grams count as equal where their 64-bit hashes are within a task.
+    are not read. N-grams count as equal where their 64-bit hashes are.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     chunked = dictionary(rows, longest)
     totals = stored(chunked.groupBy("lang").agg(F.sum(F.col("n") * F.col("owned")).alias("total")), "totals")
     known = frequent_phrases(chunked, longest, least)
     discard(chunked)
-    parts = listed(known.select("lang", "phrase", "f"))
+    parts = listed(known.select("lang", "phrase", "f"), KNOWN)
     split = F.split("phrase", " ")
     longer = known.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), "k", split.alias("words"))
 

@@ -56,7 +56,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("seed", "period", "most", "entries", "log", "args"), [(1, 32, 256, 2_000_000, 28, (4, 30, 80, 2000)), (2, 4, 8, 50, 15, (4, 10, 80, 25)), (3, 1, 5, 1000, 16, (3, 5, 60, 2000)), (4, 1 << 60, 7, 1000, 28, (4, 3, 80, 2000))])
 def test_matches_brute_force(spark, monkeypatch, seed, period, most, entries, log, args):
-    for name, value in (("PERIOD", period), ("MOST_WORDS", most), ("ENTRIES", entries), ("FILTER_MOST", log), ("BLOCK", 3000 if seed > 1 else co.BLOCK), ("PHRASES", entries)):
+    for name, value in (("PERIOD", period), ("MOST_WORDS", most), ("ENTRIES", entries), ("FILTER_MOST", log), ("BLOCK", 3000 if seed > 1 else co.BLOCK)):
         monkeypatch.setattr(co, name, value)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 AS n", "2 AS k", "'x' AS phrase", "3 AS chunk").repartition(3)
@@ -91,13 +91,14 @@ def test_filters_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(co, "FILTER_BITS", 1)
     rng = np.random.default_rng(1)
     h = rng.integers(-(1 << 63), (1 << 63) - 1, size=50_000)
-    made = co.frequent(spark.createDataFrame([(int(x), 1 + i % 2) for i, x in enumerate(h)], "h long, n long"), 2)
+    kept = co.frequent(spark.createDataFrame([(int(x), 1 + i % 2, i) for i, x in enumerate(h)], "h long, n long, place long"), 2)
+    made = co.filter_of(kept)
     assert made.has(h[1::2].view(np.uint64)).all() and made.has(h[::2].view(np.uint64)).mean() < 0.9
 
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
     """2,000,000 times a count of 10**13 passes 64 bits."""
-    monkeypatch.setattr(co, "dictionary", lambda docs, longest: co.stored(spark.createDataFrame([("en", "new york city", 3, 10**13 + 1), ("en", "new", 1, 10**12)], "lang string, chunk string, owned int, n long"), "chunks"))
+    monkeypatch.setattr(co, "dictionary", lambda docs, longest: co.stored(spark.createDataFrame([("en", "new york\n\ncity  hall tower", 5, 10**13 + 1, 5), ("en", "city", 1, 10**12, 1 << 40)], "lang string, chunk string, owned int, n long, id long"), "chunks"))
     got = {r.phrase: (r.a, r.l, r.r, r.score) for r in co.collocations(spark.createDataFrame([], "lang string, text string")).collect()}
     a, total = 10**13 + 1, 11 * 10**12 + 1
-    assert got == {"new york city": (a, total, a, 2_000_000 * a // (total + a))}
+    assert got == {"new york": (a, a, a, 1_000_000), "city hall tower": (a, total, a, 2_000_000 * a // (total + a))}
