@@ -41,7 +41,7 @@ class Files:
     """Small files and names below a folder, on any file system that Spark reaches; for the driver."""
 
     def __init__(self, spark: SparkSession, base: str):
-        self.jvm, self.base = spark._jvm, base.rstrip("/")
+        self.jvm, self.gateway, self.base = spark._jvm, spark.sparkContext._gateway, base.rstrip("/")
         self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -58,30 +58,44 @@ class Files:
         return self.fs.delete(self._path(name), True)
 
     def read(self, name: str) -> str:
-        with_stream = self.fs.open(self._path(name))
+        stream = self.fs.open(self._path(name))
         try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
-            with_stream.close()
+            stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """A file that is there whole or not at all: written under a temporary name, which then takes the place of the file before."""
-        temporary = self._path(f"_{name.replace('/', '-')}.{uuid.uuid4().hex}")
+    def _written(self, name: str, text: str):
+        """A temporary file in the folder of a name."""
+        target = self._path(name)
+        temporary = self.jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.{uuid.uuid4().hex}")
         out = self.fs.create(temporary, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        self.replace(temporary, self._path(name))
+        return temporary
+
+    def _renamed(self, source, name: str, over: bool) -> None:
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if over else kind.NONE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(source, self.fs.makeQualified(self._path(name)), options)
 
-    def replace(self, source, target) -> None:
-        options = self.jvm.org.apache.hadoop.fs.Options.Rename
-        many = self.jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
-        many[0] = options.OVERWRITE
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else self.fs.getUri(), self.fs.getConf())
-        context.rename(source, target, many)
+    def write(self, name: str, text: str) -> None:
+        """A file that is there whole or not at all; it takes the place of the one before in one step."""
+        self._renamed(self.fs.makeQualified(self._written(name, text)), name, True)
+
+    def claim(self, name: str, text: str) -> None:
+        """The same for a name that nothing has yet: of two writers one fails."""
+        temporary = self.fs.makeQualified(self._written(name, text))
+        try:
+            self._renamed(temporary, name, False)
+        except Exception as e:
+            self.fs.delete(temporary, False)
+            raise FileExistsError(name) from e
 
     def move(self, source: str, target: str) -> None:
+        """A folder or file to another name that isn't taken."""
         self.fs.mkdirs(self._path(target).getParent())
-        if not self.fs.rename(self._path(source), self._path(target)):
+        if self.exists(target) or not self.fs.rename(self._path(source), self._path(target)):
             raise OSError(f"{source} could not be moved to {target}")
