@@ -50,6 +50,9 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
 
+    def is_folder(self, name: str) -> bool:
+        return self.exists(name) and self.fs.getFileStatus(self._path(name)).isDirectory()
+
     def names(self, name: str = "") -> list[str]:
         """Names in a folder, sorted; none where there is no such folder."""
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.exists(name) else []

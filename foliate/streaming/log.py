@@ -1,10 +1,14 @@
-"""The operation log as a stream: debounced edits and windowed counts."""
+"""The operation log as a stream: debounced edits, windowed counts, and a log that each batch is added to once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.sources.staging import Files
+
 
 def timed(events: DataFrame) -> DataFrame:
     """The event time as a TIMESTAMP, which watermarks need."""
@@ -28,3 +32,30 @@ def window_counts(events: DataFrame, kind: str, size: str = "1 hour", late: str
     """Events and their mean value for each kind and window."""
     kept = events.withWatermark("ts", late) if events.isStreaming else events
     return kept.groupBy(F.window("ts", size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
+
+
+def appended(folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: adds a batch to a log, in a folder of its own.
+
+    A batch is written aside and gets its folder by one rename, so it is in the log whole or not at all; one whose folder is there
+    is a replay after a failure, and is passed over. A batch of no rows has a folder, too.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        files = Files(batch.sparkSession, folder)
+        name = f"batch={number:012d}"
+        if files.exists(name):
+            return
+        aside = f"_aside/{name}"
+        files.delete(aside)  # of an attempt that broke off
+        batch.write.parquet(f"{folder}/{aside}")
+        files.move(aside, name)
+
+    return add
+
+
+def logged(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all batches of a log, with their batch."""
+    if not any(n.startswith("batch=") for n in Files(spark, folder).names()):
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").parquet(folder)
