@@ -16,6 +16,8 @@ NUMBERED = r"^\s*(?:[一二三四五六七八九十]+\s*[、.．]|[（(]\s*[一
 #: Page numbers, notes of continuation, unmapped glyphs and editors' marks (fixed values).
 _PAGE_NUMBER, _CONTINUED = r"^[\s—–\-－·.．]*\d{1,4}[\s—–\-－·.．]*$", r"[（(]\s*上接第\s*\d+\s*页\s*[）)]"
 _GLYPH, _EDITOR = r"\(cid:\d+\)", r"\s*[（(]?\s*责\s*编\s*[:：][^）)]*[）)]?"
+#: Items of a reference list, which are no running headers (fixed value).
+_LISTED = r"^\s*\[\s*\d+\s*\]"
 #: Limits of running headers and heading lines, and of gaps and indents that begin a paragraph (fixed values).
 HEADER_LENGTH, HEADING_LENGTH, GAP_RATIO, GAP_EXTRA, INDENT_RATIO, INDENT_LEAST = 22, 30, 1.55, 4.0, 0.8, 6.0
 
@@ -59,7 +61,7 @@ def cleaned_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     cut = F.regexp_replace(F.split(F.col(text), _CONTINUED)[0], _GLYPH, "")
     rows = docs.select(key, F.posexplode(tx.lines(cut)).alias("no", "raw")).withColumn("whole", tx.strip(F.col("raw")))
     repeats = F.count("*").over(Window.partitionBy(key, "whole"))
-    short = F.length("whole").between(1, HEADER_LENGTH) & ~F.col("whole").rlike(r"^\s*\[\s*\d+\s*\]")
+    short = F.length("whole").between(1, HEADER_LENGTH) & ~F.col("whole").rlike(_LISTED)
     header = short & (repeats >= 2)
     line = F.regexp_replace("raw", _EDITOR, "")
     marked = rows.withColumn("header", header).withColumn("line", F.regexp_replace(line, f"{tx.BLANK}+$", "")).withColumn("bare", tx.strip(F.col("line")))
@@ -127,10 +129,14 @@ _NOTE_BEGINS = r"\s*(?:[（(\[]\s*)?(?:作者简介|基金项目|作者单位|
 _AUTHOR = r"(?:副教授|副研究员|讲师|教授|研究员|博士|硕士)"
 
 
+#: What makes a line noise wherever it stands.
+NOISE = "|".join((META, _FOOTNOTE, _REFERENCE, _REFERENCES, _REFERENCE_GOES_ON, _CAPTION))
+
+
 def is_noise(line: Column) -> Column:
     """Stripped lines that no section's text is taken from."""
     numbered = line.contains("编号") & (line.contains("：") | line.contains(":"))
-    return line.rlike("|".join((META, _FOOTNOTE, _REFERENCE, _REFERENCES, _REFERENCE_GOES_ON, _CAPTION))) | numbered | is_fragment(line)
+    return line.rlike(NOISE) | numbered | is_fragment(line)
 
 
 def without_footnote(line: Column) -> Column:
@@ -140,6 +146,7 @@ def without_footnote(line: Column) -> Column:
     return F.regexp_replace(cut, edges, "")
 
 
+#: The mark in front of a table that was put behind a text (fixed value).
 _TABLE_MARK = r"\n*【(?:表格数据·第\d+页|Word表\d+)】"
 
 

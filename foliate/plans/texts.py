@@ -11,7 +11,7 @@ from foliate.operators import cleaning as cl
 from foliate.operators import fallback as fb
 from foliate.operators import layout as lo
 from foliate.operators import structure as st
-from foliate.plans.documents import _BOXES, _LINES, _PARSED, _SECTIONED, _anchored, _boxes, _docs, _sectioned
+from foliate.plans.documents import _BOXES, _GLUE, _LINES, _PARSED, _SECTIONED, _anchored, _boxes, _docs, _sectioned
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources import files
@@ -34,10 +34,11 @@ def str03(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
 
 
-@query("str09_han_spaces", "SELECT doc_id, '研究方法，' || source || ' 结论' AS text FROM documents")
+@query("str09_han_spaces", "SELECT doc_id, '研究方法， ' || source || ' 结论：' || lang || ' ' || text AS text FROM documents")
 def str09(spark, sf_dir):
-    spaced = F.concat(F.lit("研 究\t方  法 ， "), F.col("source"), F.lit(" 结 论"))
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace(cl.without_han_spaces(spaced), "， (?=src)", "，").alias("text"))
+    """Spaces within Han text go; one between a mark and a Latin word stays."""
+    spaced = F.concat(F.lit("研 究\t方  法 ， "), "source", F.lit(" 结 论 ："), "lang", F.lit(" "), "text")
+    return _docs(spark, sf_dir).select("doc_id", cl.without_han_spaces(spaced).alias("text"))
 
 
 _FRAGMENT = "NOT contains(s, ' ') AND NOT regexp_matches(s, '[一-鿿]') AND length(s) < 6"
@@ -52,12 +53,16 @@ def str12(spark, sf_dir):
 _MARKED = ("", "[12] ", "图 2 ", "基金项目：", "参考文献", "收稿日期 ", "编号：", "《题》")
 
 
-@query("str13_noise_lines", f"""SELECT doc_id, string_agg(CAST(line_no AS VARCHAR), '|' ORDER BY line_no) AS noise FROM (SELECT doc_id, line_no, trim(line) AS s FROM ({_LINES})) WHERE s <> '' AND (line_no % 8 IN (1, 2, 3, 5, 7)
- OR line_no % 8 = 6 AND s IS NOT NULL OR line_no % 8 = 0 AND ({_FRAGMENT}) OR regexp_matches(s, '(?:19|20)\\d{{2}}\\s*[，,（(]|\\d{{1,4}}\\s*[-–]\\s*\\d{{1,4}}')) GROUP BY doc_id""")
+#: The rule in SQL, over stripped lines s.
+NOISE_SQL = f"(regexp_matches(s, '{cl.NOISE}') OR contains(s, '编号') AND regexp_matches(s, '[：:]') OR {_FRAGMENT})"
+
+
+@query("str13_noise_lines", f"SELECT doc_id, string_agg(CAST(line_no AS VARCHAR), '|' ORDER BY line_no) AS noise FROM (SELECT doc_id, line_no, CASE WHEN line_no % 16 < 8 THEN list_extract([{', '.join(f"'{m}'" for m in _MARKED)}], CAST(line_no % 8 + 1 AS BIGINT)) ELSE '' END || trim(line) AS s FROM ({_LINES}) WHERE trim(line) <> '') WHERE {NOISE_SQL} GROUP BY doc_id")
 def str13(spark, sf_dir):
-    """Every eighth line or so begins with a mark that makes it noise, or with none."""
+    """Lines as they are, and lines behind a mark that makes them noise."""
     marked = F.filter(F.transform(tx.lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), tx.strip(x).alias("s"))), lambda r: r["s"] != "")
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(marked).alias("r")).select("doc_id", "r.i", F.concat(F.get(F.array(*map(F.lit, _MARKED)), F.col("r.i") % 8), "r.s").alias("s"))
+    mark = F.when(F.col("r.i") % 16 < 8, F.get(F.array(*map(F.lit, _MARKED)), F.col("r.i") % 8)).otherwise("")
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(marked).alias("r")).select("doc_id", "r.i", F.concat(mark, "r.s").alias("s"))
     noise = F.array_sort(F.collect_list(F.when(cl.is_noise(F.col("s")), F.col("i"))))
     return rows.groupBy("doc_id").agg(F.array_join(noise, "|").alias("noise")).where("noise <> ''")
 
@@ -195,13 +200,23 @@ def lay03(spark, sf_dir):
     return lo.line_texts(words).select(F.col("page").alias("event_id"), "text")
 
 
-@query("src09_decoded_files", "SELECT doc_id, trim(text, ' ' || chr(10)) AS text, CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 'utf-8-sig' WHEN doc_id % 3 = 1 THEN 'utf-8-sig' END AS encoding FROM documents WHERE doc_id % 3 < 2")
+#: Beginnings of files by encoding: Han text, traditional Han text, and a Latin letter that a space follows.
+_BEGINS = {"gb18030": "研究方法", "big5": "測試", "latin-1": "Café "}
+
+
+@query(
+    "src09_decoded_files",
+    f"""SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN '{_BEGINS["gb18030"]}' || source WHEN 3 THEN '{_BEGINS["big5"].encode("big5").decode("gb18030")}' || source WHEN 4 THEN '{_BEGINS["latin-1"]}' || source ELSE trim(text, ' ' || chr(10)) END AS text,
+ CASE doc_id % 5 WHEN 2 THEN 'gb18030' WHEN 3 THEN 'gb18030' WHEN 4 THEN 'latin-1' ELSE 'utf-8-sig' END AS encoding FROM documents""",
+)
 def src09(spark, sf_dir):
-    """Files in UTF-8, with and without a mark of byte order, and with DOS line breaks."""
-    dos = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\ufeff"), dos, F.lit(" \n"))).otherwise(F.col("text"))
-    rows = _docs(spark, sf_dir).where("doc_id % 3 < 2").select("doc_id", F.encode(raw, "UTF-8").alias("raw"))
-    return files.decoded_texts(rows, "raw", "doc_id")
+    """Files in UTF-8, with and without a mark of byte order and with DOS line breaks, in GB 18030, Big5 and Latin-1. As the first
+    encoding that fits is taken, Big5 is read as GB 18030, which has a character for each of its pairs of bytes."""
+    dos = F.encode(F.concat(F.lit("\ufeff"), F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), F.lit(" \n")), "UTF-8")
+    raw = F.when(F.col("doc_id") % 5 == 0, dos).when(F.col("doc_id") % 5 == 1, F.encode("text", "UTF-8"))
+    for i, (name, begin) in enumerate(_BEGINS.items(), 2):
+        raw = raw.when(F.col("doc_id") % 5 == i, F.concat(F.lit(bytearray(begin.encode(name))), F.encode("source", "UTF-8")))
+    return files.decoded_texts(_docs(spark, sf_dir).select("doc_id", raw.alias("raw")), "raw", "doc_id")
 
 
 @query("doc04_section_anchors", f"WITH {_SECTIONED} SELECT doc_id, dimension, string_agg(CAST(p AS VARCHAR), '|' ORDER BY p) AS anchors FROM (SELECT DISTINCT doc_id, dimension, CAST(floor(line_no / 3) AS INT) AS p FROM lined JOIN dims ON d = CAST(least(floor(line_no / 3), 4) AS INT)) GROUP BY doc_id, dimension")
@@ -214,6 +229,41 @@ def doc04(spark, sf_dir):
 # filled sections
 
 
+_SENTENCES = ("本文采用问卷方法研究数据来源并分析了结果，得到了一些", "我们首次提出了一种新颖的设计思路，它的效果很好！", "五、结语", "这一部分总结了全部的工作并给出了展望。")
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    """Texts with a Han sentence, or a heading of a conclusion, before every fifth line."""
+    own = F.array(*map(F.lit, _SENTENCES))
+    plain = F.array_join(F.transform(tx.lines(F.col("text")), lambda x, i: F.when(i % 5 == 2, F.concat(F.get(own, (i / 5).cast("int") % 4), F.lit("\n"), x)).otherwise(x)), "\n")
+    return _docs(spark, sf_dir).select("doc_id", plain.alias("text"))
+
+
+_TRUNCATED = "CASE WHEN length(t) <= {cap} THEN t WHEN c.cut - 1 >= {cap} // 2 THEN trim(substring(t, 1, c.cut), ' ' || chr(9) || chr(10)) ELSE trim(substring(t, 1, {cap}), ' ' || chr(9) || chr(10)) END"
+_TOLD = f"""lined AS ({_LINES}), told AS (SELECT doc_id, line_no * 2 AS pos, line FROM lined UNION ALL SELECT doc_id, line_no * 2 - 1, list_extract([{", ".join(f"'{x}'" for x in _SENTENCES)}], CAST(line_no // 5 % 4 + 1 AS BIGINT)) FROM lined WHERE line_no % 5 = 2),
+ numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, trim(line, ' ' || chr(9)) AS s FROM told),
+ marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, {NOISE_SQL} AS noise, regexp_matches(s, '{fb.TITLE}') AS title, regexp_matches(s, '{cl.NUMBERED}') AS num FROM numbered WHERE s <> ''),
+ kinds AS (SELECT *, noise OR num AND length(s) <= 30 AS stops, NOT noise AND NOT (k < 6 AND title) AS may, NOT noise AND regexp_matches(s, '{fb.METHOD}') AND (length(s) >= 20 OR num) AS method, NOT noise AND regexp_matches(s, '{fb.INNOVATION}') AND length(s) >= 20 AS innovation FROM marked),
+ starts AS (SELECT doc_id, k, i, num, 'research_method' AS dimension, 4 AS size FROM kinds WHERE method QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1
+ UNION ALL SELECT doc_id, k, i, num, 'innovation_point', 3 FROM kinds WHERE innovation QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1 UNION ALL SELECT doc_id, k, i, num, 'research_background', 4 FROM kinds WHERE may),
+ near AS (SELECT b.doc_id, b.dimension, b.k AS k0, b.num AS num0, x.k, x.i, x.s, x.stops, lag(x.s) OVER w AS before, CASE WHEN x.i - lag(x.i) OVER w > 1 THEN 1 ELSE 0 END AS gap FROM starts b JOIN kinds x ON x.doc_id = b.doc_id AND x.k BETWEEN b.k AND b.k + b.size - 1 WINDOW w AS (PARTITION BY b.doc_id, b.dimension, b.k ORDER BY x.k)),
+ spans AS (SELECT *, sum(CASE WHEN k > k0 AND stops THEN 1 ELSE 0 END) OVER v AS n_stops, sum(gap) OVER v AS n_gaps FROM near WINDOW v AS (PARTITION BY doc_id, dimension, k0 ORDER BY k)),
+ texts AS (SELECT doc_id, dimension, k0, string_agg({_GLUE.replace("line, '^", "s, '^").replace("left(line", "left(s")} || s, '' ORDER BY k) AS t, string_agg(CAST(i AS VARCHAR), '|' ORDER BY k) AS lines FROM spans WHERE n_stops = 0 AND n_gaps <= CASE WHEN num0 THEN 1 ELSE 0 END GROUP BY doc_id, dimension, k0),
+ cuts AS (SELECT *, 900 - length(regexp_extract(reverse(substring(t, 1, 900)), '^[^。！？!?”’' || chr(10) || ']*')) AS cut FROM texts),
+ shown AS (SELECT doc_id, dimension, k0, lines, {_TRUNCATED.format(cap=900)} AS content FROM cuts c)"""
+
+
+@query(
+    "doc03_filled_spans",
+    f"""WITH {_TOLD} SELECT doc_id, dimension, content, lines FROM shown WHERE content <> '' AND (dimension <> 'research_background' OR length(content) >= 20 AND regexp_matches(content, '{fb.SENTENCE}'))
+ QUALIFY row_number() OVER (PARTITION BY doc_id, dimension ORDER BY k0) = 1""",
+)
+def doc03s(spark, sf_dir):
+    """What stands in for background, methods and innovations of texts that have no headings of sections."""
+    found = fb.filled_sections(_told(spark, sf_dir), precision=4).where(F.col("dimension").isin("research_background", "research_method", "innovation_point"))
+    return found.select("doc_id", "dimension", "content", F.array_join(F.col("lines").cast("array<string>"), "|").alias("lines"))
+
+
 @query("doc03_filled_sections")
 def doc03(spark, sf_dir):
     """Texts of which some have headings, with Han sentences between their lines."""
