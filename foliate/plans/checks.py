@@ -85,13 +85,6 @@ def str21(spark, sf_dir):
     return br.library(spark, sf_dir).select("id", F.when(tx.is_blank(meta), stem).otherwise(tx.strip(meta)).alias("title"))
 
 
-@query("doc09_verdicts", "SELECT doc_id, NOT (doc_id % 4 <> 0) AND NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0) AS fatal, CASE WHEN NOT (doc_id % 4 <> 0) AND NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0) THEN 1 ELSE doc_id % 2 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END END AS messages FROM documents")
-def doc09(spark, sf_dir):
-    d = F.col("doc_id")
-    checks = _docs(spark, sf_dir).select("doc_id", (d % 4 != 0).alias("has_text"), (d % 3 == 0).alias("trusted"), (d % 5 == 0).alias("scanned"), F.array_repeat(F.lit("core_view"), (d % 2).cast("int")).alias("missing"), F.array(F.lit("a")).alias("inconsistent"), F.array(F.lit("b")).alias("untraceable"))
-    return st.verdicts(checks).select("doc_id", "fatal", F.col("messages").cast("long").alias("messages"))
-
-
 @query("doc11_still_asked", f"WITH {_SECTIONED} SELECT doc_id, dimension FROM secs WHERE length(content) < 50")
 def doc11(spark, sf_dir):
     found = st.sections(_sectioned(spark, sf_dir)).select("doc_id", "dimension", F.col("content").alias("local"))

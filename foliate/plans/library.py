@@ -443,21 +443,6 @@ def dml21(spark, sf_dir):
 # checks and reports
 
 
-@query("agg14_unresolved_dimensions", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(['core_view'], CASE WHEN doc_id % 2 = 0 THEN ['abc'] ELSE [] END), CASE WHEN doc_id % 3 = 0 THEN ['core_view', 'zeta'] ELSE [] END))), '|') AS unresolved FROM documents")
-def agg14(spark, sf_dir):
-    d, none = F.col("doc_id"), F.array().cast("array<string>")
-    missing, problems = F.array(F.lit("core_view")), F.when(d % 2 == 0, F.array(F.lit("abc"))).otherwise(none)
-    invalid = F.when(d % 3 == 0, F.array(F.lit("core_view"), F.lit("zeta"))).otherwise(none)
-    return br.table(spark, sf_dir, "documents").select("doc_id", F.array_join(st.unresolved(missing, problems, invalid), "|").alias("unresolved"))
-
-
-@query("doc13_trusted_originals", "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 AS trusted FROM documents")
-def doc13(spark, sf_dir):
-    d = F.col("doc_id")
-    drafts = F.create_map(F.lit("core_view"), F.when(d % 3 != 0, "text").otherwise(" "), F.lit("research_method"), F.lit(""))
-    return br.table(spark, sf_dir, "documents").select("doc_id", st.trusted_original(d % 2 == 0, d % 5 == 0, drafts, F.array(F.lit("core_view"), F.lit("research_method")), F.array(F.lit("research_method"))).alias("trusted"))
-
-
 @query("doc14_fields_by_switches", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS core_view, lang AS research_method FROM documents")
 def doc14(spark, sf_dir):
     switches = F.when(F.col("doc_id") % 2 == 0, '{"core_view": false}').otherwise("{}")
@@ -466,20 +451,6 @@ def doc14(spark, sf_dir):
     return br.table(spark, sf_dir, "documents").select("doc_id", *(F.element_at(fields, c).alias(c) for c in ("core_view", "research_method")))
 
 
-@query("doc12_refine_material", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '0|1' ELSE '0|1|2' END AS numbers FROM documents")
-def doc12(spark, sf_dir):
-    """The paragraphs that are put to the model once more: the anchored ones where all asked dimensions have text and anchors, else all."""
-    d = F.col("doc_id")
-    dims = F.array(F.struct(F.lit("text").alias("local"), F.array(F.lit(1), F.lit(0)).alias("anchors")), F.struct(F.when(d % 3 == 0, "more").otherwise("").alias("local"), F.array(F.lit(1)).alias("anchors")))
-    return br.table(spark, sf_dir, "documents").select("doc_id", F.array_join(st.refine_paragraphs(dims, F.lit(3)).cast("array<string>"), "|").alias("numbers"))
-
-
-@query("doc15_merged_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'p1' || chr(10) || chr(10) || 'p2' ELSE source || chr(10) || chr(10) || 'p1' || chr(10) || chr(10) || 'p2' END || chr(10) || chr(10) || 'table' AS text FROM documents")
-def doc15(spark, sf_dir):
-    """A scanned document's text is that of its pages; others keep theirs, with the blocks read from pages, then tables."""
-    return br.table(spark, sf_dir, "documents").select("doc_id", st.with_page_texts(F.col("source"), F.col("doc_id") % 2 == 0, F.array(F.lit("p1"), F.lit(" "), F.lit("p2")), F.array(F.lit("table"))).alias("text"))
-
-
 @query("agg15_scanned_documents", "SELECT l_orderkey, avg(CASE WHEN l_quantity < 20 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned FROM lineitem GROUP BY l_orderkey")
 def agg15(spark, sf_dir):
     """Order lines as pages whose quantity is their number of characters."""

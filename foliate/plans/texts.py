@@ -95,14 +95,6 @@ def str24(spark, sf_dir):
     return br.table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in kinds.items()))
 
 
-@query("doc17_labelled_chunks", f"SELECT doc_id, string_agg('【片段' || (k + 1) || '/' || n || '】' || chr(10) || t, chr(10) || chr(10) ORDER BY k) AS material FROM (SELECT doc_id, CAST(floor(line_no / 4) AS INT) AS k, max(CAST(floor(line_no / 4) AS INT)) OVER (PARTITION BY doc_id) + 1 AS n, string_agg(trim(line), chr(10) ORDER BY line_no) AS t FROM ({_LINES}) GROUP BY doc_id, floor(line_no / 4)) GROUP BY doc_id")
-def doc17(spark, sf_dir):
-    """What a map step has made of each chunk, labelled and put together for one reduce step; here the chunk itself, of four lines."""
-    parts = tx.slices(tx.lines(F.col("text")), 4)
-    mapped = F.transform(parts, lambda p: F.array_join(F.transform(p, tx.strip), "\n"))
-    return _docs(spark, sf_dir).where("text <> ''").select("doc_id", st.labelled_chunks(mapped).alias("material"))
-
-
 # notes
 
 
