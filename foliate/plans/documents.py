@@ -238,12 +238,12 @@ def doc10(spark, sf_dir):
  keys AS (SELECT doc_id, string_agg(word, '、' ORDER BY k) AS keywords FROM ranked WHERE k <= most GROUP BY doc_id)
  SELECT s.*, keywords FROM (SELECT doc_id, coalesce(max(CASE WHEN dimension = 'research_background' THEN content END), '') AS research_background, coalesce(max(CASE WHEN dimension = 'core_view' THEN content END), '') AS core_view, coalesce(max(CASE WHEN dimension = 'research_method' THEN content END), '') AS research_method, coalesce(max(CASE WHEN dimension = 'innovation_point' THEN content END), '') AS innovation_point, coalesce(max(CASE WHEN dimension = 'research_conclusion' THEN content END), '') AS research_conclusion, coalesce(max(CASE WHEN dimension = 'reference_list' THEN content END), '') AS reference_list FROM secs GROUP BY doc_id) s LEFT JOIN keys ON keys.doc_id = s.doc_id""".replace("{{2,}}", "{2,}"))
 def doc16(spark, sf_dir):
-    """Sections of every text with its keywords: the report that needs no model."""
-    docs = _sectioned(spark, sf_dir)
-    wide = st.sections(docs).groupBy("doc_id").pivot("dimension", list(st.DIMENSIONS)).agg(F.first("content"))
-    words = st.frequent_words(docs, st.KEYWORDS).join(st.profile(docs).select("doc_id", F.col("keywords").alias("most")), "doc_id").where("place <= most")
-    keywords = words.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "、").alias("keywords"))
-    return wide.join(keywords, "doc_id", "left").na.fill("", list(st.DIMENSIONS))
+    """Sections of every text with its keywords: the report that needs no model. A text's report is made in its row. Texts without a
+    section have none."""
+    at = st.opened(_sectioned(spark, sf_dir).select("doc_id", "text").withColumn("_id", F.struct("doc_id", "text")), "_id")
+    rows = at.where(F.size("opens") > 0).select("_id.doc_id", F.col("_id.text").alias("text"), F.explode(F.array(st.sections_of(F.col("lines"), F.col("opens")))).alias("own"))
+    of = lambda d: F.coalesce(F.get(F.filter("own", lambda s: s["dimension"] == d), F.lit(0))["content"], F.lit("")).alias(d)
+    return st.with_keywords(rows.select("doc_id", *map(of, st.DIMENSIONS), tx.tokens(F.col("text")).alias("tokens"), st.keyword_number(F.col("text")).alias("most")), "most")
 
 
 # anchors
