@@ -125,8 +125,8 @@ _REFERENCE, _CAPTION = r"^\s*\[\s*\d+\s*\]", r"^\s*[图表]\s*\d*[\s.．、]"
 _REFERENCE_GOES_ON = r"^\s*(?:\[[A-Z]{1,4}\]\.?|.*?(?:19|20)\d{2}\s*[，,（(]|.*?\d{1,4}\s*[-–]\s*\d{1,4})"
 _REFERENCES = r"^\s*参\s*考\s*文\s*献\s*[:：]?\s*$"
 #: Where a footnote begins within a line, and titles of authors (fixed values).
-_NOTE_BEGINS = r"\s*(?:[（(\[]\s*)?(?:作者简介|基金项目|作者单位|收稿日期)|[，,；;]?\s*主要研究方向\s*[:：]"
-_AUTHOR = r"(?:副教授|副研究员|讲师|教授|研究员|博士|硕士)"
+NOTE_BEGINS = r"\s*(?:[（(\[]\s*)?(?:作者简介|基金项目|作者单位|收稿日期)|[，,；;]?\s*主要研究方向\s*[:：]"
+AUTHOR = r"(?:副教授|副研究员|讲师|教授|研究员|博士|硕士)"
 
 
 #: What makes a line noise wherever it stands.
@@ -142,7 +142,7 @@ def is_noise(line: Column) -> Column:
 def without_footnote(line: Column) -> Column:
     """What stands in a line before a footnote that has run into it, and before the last title of an author."""
     edges = "^[ \\[\\]（）()　\t，,；;、]+|[ \\[\\]（）()　\t，,；;、]+$"
-    cut = tx.let(F.split(line, _NOTE_BEGINS, 2)[0], lambda head: F.when(head.rlike(_AUTHOR), F.regexp_replace(F.regexp_extract(head, rf"^(.*){_AUTHOR}", 1), "副$", "")).otherwise(head))
+    cut = tx.let(F.split(line, NOTE_BEGINS, 2)[0], lambda head: F.when(head.rlike(AUTHOR), F.regexp_replace(F.regexp_extract(head, rf"^(.*){AUTHOR}", 1), "副$", "")).otherwise(head))
     return F.regexp_replace(cut, edges, "")
 
 

@@ -133,3 +133,38 @@ def doc17(spark, sf_dir):
     parts = tx.slices(tx.lines(F.col("text")), 4)
     mapped = F.transform(parts, lambda p: tx.truncate_at_sentence(F.array_join(F.transform(p, tx.strip), "\n"), 120))
     return _docs(spark, sf_dir).where("text <> ''").select("doc_id", st.labelled_chunks(mapped).alias("material"))
+
+
+@query("arr05_asked_dimensions", f"WITH {_DRAFTED} SELECT d.doc_id, coalesce(string_agg(o.dimension || '=' || o.draft, '|' ORDER BY dims.d), '') AS kept FROM (SELECT DISTINCT doc_id FROM lined) d LEFT JOIN own o ON o.doc_id = d.doc_id AND o.dimension IN ('research_background', 'innovation_point', 'core_view') AND trim(o.draft) <> '' LEFT JOIN dims ON dims.dimension = o.dimension GROUP BY d.doc_id")
+def arr05(spark, sf_dir):
+    """Of each text's drafts those that are asked for and not blank."""
+    parsed = F.map_from_entries(F.transform("dims", lambda s: F.struct(s["dimension"], s["draft"])))
+    kept = tx.asked_only(parsed, F.array(*map(F.lit, ("core_view", "research_background", "innovation_point"))))
+    rows = _drafted(spark, sf_dir).where("text <> ''")
+    return rows.select("doc_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("kept"))
+
+
+#: Lines of a page, where a text's lines are put on pages.
+_PAGE = 4
+_PAGED = f"SELECT doc_id, line_no // {_PAGE} + 1 AS page, sum(length(line)) AS chars, sum(length(regexp_replace(line, '[^A-Za-z ]', '', 'g'))) AS letters, count(*) FILTER (contains(line, '|')) AS bars FROM ({_LINES}) GROUP BY doc_id, line_no // {_PAGE}"
+
+
+def _paged(spark, sf_dir) -> DataFrame:
+    """Pages of four lines: their characters, the share of those that are neither A to Z nor spaces, lines with a bar, and how far words reach."""
+    parts = F.transform(tx.slices(tx.lines(F.col("text")), _PAGE), lambda p, i: F.struct((i + 1).alias("page"), F.array_join(p, "").alias("s"), F.size(F.filter(p, lambda x: x.contains("|"))).alias("tables")))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(parts).alias("p")).select("doc", "p.page", "p.tables", F.length("p.s").alias("chars"), F.length(F.regexp_replace("p.s", "[^A-Za-z ]", "")).alias("letters"))
+    return rows.withColumn("image_ratio", 1 - F.col("letters") / F.greatest("chars", F.lit(1))).withColumn("gutter", F.when(F.col("tables") > 0, (F.col("chars") / 2).cast("double")))
+
+
+@query("agg15_scanned_documents", f"SELECT doc_id AS doc, avg(CASE WHEN chars < 20 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned FROM ({_PAGED}) GROUP BY doc_id")
+def agg15(spark, sf_dir):
+    return _paged(spark, sf_dir).groupBy("doc").agg(st.is_scanned(F.col("chars")).alias("scanned"))
+
+
+@query(
+    "lay10_page_profiles",
+    f"SELECT doc_id AS doc, avg(CASE WHEN chars < 20 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned, count(*) FILTER (1 - letters / greatest(chars, 1) >= 0.25) AS figure_pages, count(*) FILTER (bars > 0) AS table_pages, round(avg(CASE WHEN bars > 0 THEN chars / 2 END), 3) AS gutter FROM ({_PAGED}) WHERE page <= 5 GROUP BY doc_id",
+)
+def lay10(spark, sf_dir):
+    """Profiles of texts on pages; a page with a table counts as one in two columns."""
+    return st.page_profiles(_paged(spark, sf_dir))

@@ -418,13 +418,6 @@ def arr04(spark, sf_dir):
     return br.table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.clean_keywords(raw), "|").alias("keywords"))
 
 
-@query("arr05_asked_dimensions", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'core_view=' || source ELSE '' END AS kept FROM documents")
-def arr05(spark, sf_dir):
-    parsed = F.create_map(F.lit("core_view"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" "), F.lit("reference_list"), F.col("lang"))
-    kept = tx.asked_only(parsed, F.array(F.lit("core_view"), F.lit("research_method")))
-    return br.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("kept"))
-
-
 @query("jsn01_tolerant_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a|b' ELSE '' END AS items, CASE WHEN event_id % 3 = 2 THEN '' ELSE json_extract_string(props, '$.k') END AS k FROM events")
 def jsn01(spark, sf_dir):
     listed = F.when(F.col("event_id") % 3 == 0, '["a", "b"]').when(F.col("event_id") % 3 == 1, '{"a": 1}')
@@ -449,16 +442,3 @@ def doc14(spark, sf_dir):
     parsed = F.create_map(F.lit("core_view"), F.col("source"), F.lit("research_method"), F.col("lang"))
     fields = st.fields_by_switches(parsed, rp.filled_switches(switches))
     return br.table(spark, sf_dir, "documents").select("doc_id", *(F.element_at(fields, c).alias(c) for c in ("core_view", "research_method")))
-
-
-@query("agg15_scanned_documents", "SELECT l_orderkey, avg(CASE WHEN l_quantity < 20 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned FROM lineitem GROUP BY l_orderkey")
-def agg15(spark, sf_dir):
-    """Order lines as pages whose quantity is their number of characters."""
-    pages = br.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("chars"))
-    return pages.groupBy(F.col("doc").alias("l_orderkey")).agg(st.is_scanned(F.col("chars")).alias("scanned"))
-
-
-@query("lay10_page_profiles", "SELECT l_orderkey AS doc, avg(CASE WHEN l_quantity < 20 THEN 1.0 ELSE 0.0 END) >= 0.8 AS scanned, count(*) FILTER (l_discount * 5 >= 0.25) AS figure_pages, count(*) FILTER (l_returnflag = 'R') AS table_pages, round(avg(CASE WHEN l_tax > 0 THEN l_tax * 1000 END), 3) AS gutter FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1")
-def lay10(spark, sf_dir):
-    pages = br.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("chars"), (F.col("l_discount") * 5).alias("image_ratio"), (F.col("l_returnflag") == "R").cast("int").alias("tables"), F.when(F.col("l_tax") > 0, F.col("l_tax") * 1000).alias("gutter"))
-    return st.page_profiles(pages)
