@@ -8,7 +8,6 @@ tiles whose counts lie within the radius are paired; within a pair all fingerpri
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
