@@ -12,6 +12,8 @@ BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Codes of faults; others have the code 1 (fixed values).
 ERROR_CODES = {"missing": 2, "invalid": 3, "parse": 4, "db": 5, "space": 6, "duplicate": 7, "permission": 8, "model": 9}
 KEYWORDS_AT_MOST = 20
+#: Units of sizes from 1024 bytes on (fixed values).
+SIZE_UNITS = ("KB", "MB", "GB", "TB")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends of sentences; the ASCII stop is none, as abbreviations have it (fixed values).
 SENTENCE_ENDS = "。！？!?”’"
@@ -85,12 +87,14 @@ def safe_name(c: Column) -> Column:
     return F.when(is_blank(clean), "report.txt").otherwise(clean)
 
 
-def human_size(c: Column) -> Column:
-    """Bytes as B, or with one decimal as KB to TB."""
+def human_size(c: Column, largest: str = "TB") -> Column:
+    """Bytes as B, or with one decimal as KB to the largest unit."""
     out = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-    for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(c < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", F.bround(c / 1024**i, 1)))
-    return out.otherwise(F.format_string("%.1f TB", F.bround(c / 1024**4, 1)))
+    units = SIZE_UNITS[: SIZE_UNITS.index(largest) + 1]
+    shown = lambda i: F.format_string(f"%.1f {units[i - 1]}", F.bround(c / 1024**i, 1))
+    for i in range(1, len(units)):
+        out = out.when(c < 1024 ** (i + 1), shown(i))
+    return out.otherwise(shown(len(units)))
 
 
 def brief(c: Column, most: int = 24) -> Column:

@@ -40,6 +40,7 @@ def test_small_functions(spark):
     assert values(spark, ["a" * 10, "abcd! efgh ijkl", "abcd” efgh ijkl", "abcd. efgh ijkl", "ab! " + "c" * 30, None], lambda c: tx.truncate_at_sentence(c, 8)) == ["a" * 8, "abcd!", "abcd”", "abcd. ef", "ab! cccc", None]
     assert values(spark, [' a/b:c*"? ', "  ", "x"], tx.safe_name) == ["a_b_c___", "report.txt", "x"]
     assert values(spark, ["0", "1023", "1024", "1280", "1048576", "1099511627776"], lambda c: tx.human_size(c.cast("long"))) == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.0 MB", "1.0 TB"]
+    assert values(spark, ["1280", "1073741824", "3221225472"], lambda c: tx.human_size(c.cast("long"), "MB")) == ["1.2 KB", "1024.0 MB", "3072.0 MB"]
     assert values(spark, ["[原文位置：3，1, 3]x[原文位置: 7]", "none"], tx.citations) == [[3, 1, 7], []]
     assert values(spark, ["【段落2】a[原文位置：3]b【片段1/4】"], tx.without_citations) == ["ab"]
     assert values(spark, ["7", "x", None, "-2", "4"], lambda c: tx.clamped(c, 1, 5, 3)) == [5, 3, 3, 1, 4]
