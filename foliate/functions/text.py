@@ -49,8 +49,8 @@ def escape_like(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines at every line separator; a final separator ends the last line."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"\R|[\x1c-\x1e]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(F.coalesce(c, F.lit("")), r"\R|[\x1c-\x1e]"), whole)
 
 
 def line_paragraphs(c: Column) -> Column:
@@ -75,11 +75,13 @@ def tokens(c: Column) -> Column:
 
 def truncate_at_sentence(c: Column, most: int) -> Column:
     """At most ``most`` characters, cut behind the last sentence end in the second half if there is one."""
-    head = F.substring(c, 1, most)
-    tail = F.length(F.regexp_extract(F.reverse(head), rf"^([^\n{SENTENCE_ENDS}]*)[\n{SENTENCE_ENDS}]", 1))
-    found = F.reverse(head).rlike(rf"[\n{SENTENCE_ENDS}]")
-    cut = F.length(head) - tail
-    return F.when(F.length(c) <= most, c).when(found & (cut - 1 >= most // 2), strip(F.left(head, cut))).otherwise(strip(head))
+
+    def cut(head: Column, back: Column) -> Column:
+        at = F.length(head) - F.length(F.regexp_extract(back, rf"^([^\n{SENTENCE_ENDS}]*)[\n{SENTENCE_ENDS}]", 1))
+        return strip(F.when(back.rlike(rf"[\n{SENTENCE_ENDS}]") & (at - 1 >= most // 2), F.left(head, at)).otherwise(head))
+
+    shortened = lambda own: let(F.substring(own, 1, most), lambda head: let(F.reverse(head), lambda back: cut(head, back)))
+    return let(c, lambda own: F.when(F.length(own) <= most, own).otherwise(shortened(own)))
 
 
 def safe_name(c: Column) -> Column:
@@ -112,14 +114,17 @@ def shortened(c: Column, most: int = 6000, tail: int = 1000) -> Column:
 
 def markdown_table(rows: Column) -> Column:
     """A table (array of rows of cells) as Markdown: blank rows go, rows are filled to the widest, the first is the head."""
-    cells = F.transform(rows, lambda r: F.transform(r, lambda x: strip(F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\n", " "), F.lit("|"), F.lit("\\|")))))
-    full = F.filter(cells, lambda r: F.exists(r, lambda x: x != ""))
-    width = F.array_max(F.transform(full, F.size))
-    padded = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    cell = lambda x: strip(F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\n", " "), F.lit("|"), F.lit("\\|")))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    head = F.array(line(F.element_at(padded, 1)), line(F.array_repeat(F.lit("---"), width)))
-    body = F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), line)
-    return F.when(F.size(full) > 0, F.array_join(F.concat(head, body), "\n")).otherwise("")
+
+    def table(full: Column, width: Column) -> Column:
+        padded = F.transform(full, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+        rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+        return F.array_join(F.concat(F.slice(padded, 1, 1), rule, F.slice(padded, 2, F.greatest(F.size(full) - 1, F.lit(0)))), "\n")
+
+    full = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda x: x != ""))
+    made = lambda own: F.when(F.size(own) > 0, let(F.array_max(F.transform(own, F.size)), lambda width: table(own, width))).otherwise("")
+    return let(full, made)
 
 
 def citations(c: Column) -> Column:
@@ -180,8 +185,8 @@ def slices(items: Column, size: int) -> Column:
     """An array cut into arrays of at most ``size`` items."""
     if size <= 0:
         raise ValueError("slices need a size above 0")
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
+    starts = lambda own: F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return let(items, lambda own: F.transform(starts(own), lambda i: F.slice(own, i, F.lit(size))))
 
 
 def overridden(base: Column, over: Column) -> Column:

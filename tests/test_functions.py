@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,20 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
 def test_debounce(spark):
     edits = spark.createDataFrame([(1, "2024-01-01 00:00:00", "a", 1), (1, "2024-01-01 00:00:00.999", "b", 2), (1, "2024-01-01 00:00:01.999", "c", 3), (1, "2024-01-01 00:00:04", "d", 4)], "k int, ts string, v string, o int").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r.v, r.edits) for r in sl.debounced(edits, "k", "v", "o").orderBy("start").collect()] == [("c", 3), ("d", 1)]
+
+
+def test_work_of_a_text_grows_with_its_lines(spark):
+    """A part of a text that is named within a function of its parts is made once for the text, not once for each part."""
+    text = "\n".join(f"Line {i} of the text." for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parts = tx.slices(tx.lines(F.col("text")), 4)
+    mapped = F.transform(parts, lambda p: tx.truncate_at_sentence(F.array_join(F.transform(p, tx.strip), "\n"), 40))
+    numbers = F.sequence(F.lit(0), F.lit(1499))
+    began = time.monotonic()
+    shown = docs.select(st.labelled_chunks(mapped).alias("s")).first().s
+    assert shown.startswith("【片段1/750】\nLine 0 of the text.\n") and "【片段750/750】\nLine 2996 of" in shown
+    marked = docs.select(st.marked(F.replace("text", F.lit("\n"), F.lit("\n\n")), numbers).alias("s")).first().s
+    assert marked.count("【段落") == 1500
+    table = docs.select(tx.markdown_table(F.transform(tx.lines(F.col("text")), lambda x: F.array(x, F.lit("b")))).alias("s")).first().s
+    assert table.count("\n") == 3000
+    assert time.monotonic() - began < 20
