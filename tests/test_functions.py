@@ -159,3 +159,12 @@ def test_work_of_a_text_grows_with_its_lines(spark):
     table = docs.select(tx.markdown_table(F.transform(tx.lines(F.col("text")), lambda x: F.array(x, F.lit("b")))).alias("s")).first().s
     assert table.count("\n") == 3000
     assert time.monotonic() - began < 20
+
+
+def test_gutters_shuffle_words_by_page_alone(spark):
+    words = spark.createDataFrame([(1, 0.0, 40.0), (1, 60.0, 100.0), (2, 0.0, 100.0), (3, 10.0, 20.0), (None, 0.0, 10.0)], "page long, x0 double, x1 double")
+    found = lo.gutters(words, 100.0, support=1)
+    assert sorted(map(tuple, found.collect())) == [(1, 40, 60)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "page" in plan and "hashpartitioning(page#" in plan
+    assert not [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(page#" in x and ", x#" in x]
