@@ -34,11 +34,15 @@ def told_lines(lines: Column) -> Column:
     """The lines of a text that aren't blank (i: number, s: stripped), and what each one is."""
 
     def told(x: Column, i: Column) -> Column:
-        return tx.let(tx.strip(x), lambda s: tx.let(cl.without_footnote(s), lambda bare: marks(s, bare, i)))
+        return tx.let(tx.strip(x), lambda s: tx.let(cl.without_footnote(s), lambda bare: tx.let(first(s, bare), lambda own: marks(s, bare, own, i))))
 
-    def marks(s: Column, bare: Column, i: Column) -> Column:
-        n = F.length(s)
-        noise, title, numbered = cl.is_noise(s), s.rlike(TITLE), s.rlike(cl.NUMBERED)
+    def first(s: Column, bare: Column) -> Column:
+        """What several marks are made of."""
+        found = {"noise": cl.is_noise(s), "title": s.rlike(TITLE), "numbered": s.rlike(cl.NUMBERED), "abstract": s.rlike(ABSTRACT), "han": bare.rlike(HAN), "n": F.length(s), "m": F.length(bare)}
+        return F.struct(*(c.alias(name) for name, c in found.items()))
+
+    def marks(s: Column, bare: Column, own: Column, i: Column) -> Column:
+        n, noise, title, numbered = (own[name] for name in ("n", "noise", "title", "numbered"))
         heads = numbered & (n <= HEADING_LENGTH)
         is_what = {
             "noise": noise,
@@ -47,14 +51,14 @@ def told_lines(lines: Column) -> Column:
             "stops": noise | heads,
             "runs": ~noise & ~title & ~heads & (n >= RUNNING),
             "tail": noise | ((n <= LABEL_LENGTH) & ~s.rlike(LABEL)),
-            "method": s.rlike(METHOD) & ~noise & ((n >= LEAST) | numbered),
-            "innovation": s.rlike(INNOVATION) & ~noise & (n >= LEAST),
+            "method": ~noise & s.rlike(METHOD) & ((n >= LEAST) | numbered),
+            "innovation": ~noise & (n >= LEAST) & s.rlike(INNOVATION),
             "concludes": s.rlike(CONCLUSION),
-            "abstract": s.rlike(ABSTRACT),
-            "abstract_ends": ~s.rlike(ABSTRACT) & (s.rlike(ABSTRACT_ENDS) | s.rlike(cl.META)),
-            "usable": (F.length(bare) >= 4) & bare.rlike(HAN),
+            "abstract": own["abstract"],
+            "abstract_ends": ~own["abstract"] & (s.rlike(ABSTRACT_ENDS) | s.rlike(cl.META)),
+            "usable": (own["m"] >= 4) & own["han"],
             "bare_noise": cl.is_noise(bare),
-            "last": ~noise & (F.length(bare) >= LEAST) & bare.rlike(HAN),
+            "last": ~noise & (own["m"] >= LEAST) & own["han"],
         }
         return F.struct(i.alias("i"), s.alias("s"), bare.alias("bare"), *(c.alias(name) for name, c in is_what.items()))
 

@@ -11,7 +11,7 @@ from foliate.operators import cleaning as cl
 from foliate.operators import fallback as fb
 from foliate.operators import layout as lo
 from foliate.operators import structure as st
-from foliate.plans.documents import _BOXES, _GLUE, _LINES, _PARSED, _SECTIONED, _anchored, _boxes, _docs, _sectioned
+from foliate.plans.documents import _BOXES, _GLUE, _LINES, _PARSED, _SECTIONED, _anchored, _boxes, _docs, _sectioned, _spread
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources import files
@@ -242,7 +242,7 @@ def _told(spark, sf_dir) -> DataFrame:
     """Texts with a Han sentence, or a heading of a conclusion, before every fifth line."""
     own = F.array(*map(F.lit, _SENTENCES))
     plain = F.array_join(F.transform(tx.lines(F.col("text")), lambda x, i: F.when(i % 5 == 2, F.concat(F.get(own, (i / 5).cast("int") % 4), F.lit("\n"), x)).otherwise(x)), "\n")
-    return _docs(spark, sf_dir).select("doc_id", plain.alias("text"))
+    return _spread(spark, sf_dir).select("doc_id", plain.alias("text"))
 
 
 _TRUNCATED = "CASE WHEN length(t) <= {cap} THEN t WHEN c.cut - 1 >= {cap} // 2 THEN trim(substring(t, 1, c.cut), ' ' || chr(9) || chr(10)) ELSE trim(substring(t, 1, {cap}), ' ' || chr(9) || chr(10)) END"
@@ -275,5 +275,5 @@ def doc03(spark, sf_dir):
     """Texts of which some have headings, with Han sentences between their lines."""
     sentence = F.array(*map(F.lit, ("本文采用问卷方法研究数据来源。", "我们首次提出了一种新颖的设计思路，效果很好！", "五、结语", "这一部分总结了全部的工作并给出了展望。")))
     plain = F.array_join(F.transform(tx.lines(F.col("text")), lambda x, i: F.when(i % 5 == 2, F.concat(F.get(sentence, (i / 5).cast("int") % 4), F.lit("\n"), x)).otherwise(x)), "\n")
-    docs = _docs(spark, sf_dir).select("doc_id", plain.alias("text")).where("doc_id % 2 = 1").union(_sectioned(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", "text"))
+    docs = _spread(spark, sf_dir).select("doc_id", plain.alias("text")).where("doc_id % 2 = 1").union(_sectioned(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", "text"))
     return fb.filled_sections(docs, precision=4)
