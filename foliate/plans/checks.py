@@ -9,7 +9,7 @@ from foliate.operators import cleaning as cl
 from foliate.operators import report as rp
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
-from foliate.plans.documents import _GLUE, _LINES, _SECTIONED, _docs, _sectioned
+from foliate.plans.documents import _GLUE, _LINES, _SECTIONED, _docs, _sectioned, _spread
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources.bridge import with_views
@@ -75,7 +75,7 @@ def str06(spark, sf_dir):
 @query("str16_marked_paragraphs", f"SELECT doc_id, string_agg('【段落' || p || '】' || trim(line), chr(10) || chr(10) ORDER BY p) AS shown FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS p FROM ({_LINES}) WHERE trim(line) <> '') WHERE p IN (0, 2) GROUP BY doc_id")
 def str16(spark, sf_dir):
     wide = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return _docs(spark, sf_dir).select("doc_id", st.marked(wide, F.array(*map(F.lit, (2, 0, 2, -1, 999)))).alias("shown")).where("shown <> ''")
+    return _spread(spark, sf_dir).select("doc_id", st.marked(wide, F.array(*map(F.lit, (2, 0, 2, -1, 999)))).alias("shown")).where("shown <> ''")
 
 
 @query("str21_titles", with_views("SELECT id, CASE WHEN id % 4 = 0 THEN CAST(id AS VARCHAR) ELSE trim(title, ' ' || chr(10)) END AS title FROM lib", "lib"))

@@ -9,7 +9,7 @@ from foliate.operators import cleaning as cl
 from foliate.operators import report as rp
 from foliate.operators import structure as st
 from foliate.operators import tables as tb
-from foliate.plans.documents import _GLUE, _LINES, _docs, _sectioned
+from foliate.plans.documents import _GLUE, _LINES, _docs, _sectioned, _spread
 from foliate.plans.registry import query
 from foliate.sources import bridge as br
 from foliate.sources import files
@@ -71,12 +71,12 @@ def str07(spark, sf_dir):
 @query("str10_cleaned_text")
 def str10(spark, sf_dir):
     noise = F.concat(F.col("text"), F.lit("\n\n\n— 67 —\n(cid:12)ab cd\nHead line\nHead line\n!!##"))
-    return cl.cleaned_lines(_docs(spark, sf_dir).select("doc_id", noise.alias("text")))
+    return cl.cleaned_lines(_spread(spark, sf_dir).select("doc_id", noise.alias("text")))
 
 
 @query("str11_garbage_lines", f"SELECT doc_id, count(*) AS n FROM ({_LINES}) WHERE trim(line) <> '' AND (length(regexp_replace(trim(line), '[A-Za-z0-9]', '', 'g')) > 2 * (length(trim(line)) - length(regexp_replace(trim(line), '[A-Za-z0-9]', '', 'g'))) OR (NOT contains(trim(line), ' ') AND (length(trim(line)) - length(regexp_replace(trim(line), '[A-Za-z0-9]', '', 'g')) >= 6 OR length(trim(line)) BETWEEN 2 AND 5 OR NOT regexp_matches(trim(line), '^[\\p{{L}}\\p{{N}}]')))) GROUP BY doc_id")
 def str11(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(tx.line_paragraphs(F.col("text"))).alias("line"))
+    rows = _spread(spark, sf_dir).select("doc_id", F.explode(tx.line_paragraphs(F.col("text"))).alias("line"))
     return rows.where(cl.is_garbage(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -135,7 +135,7 @@ def dml17(spark, sf_dir):
 
 @query("agg11_heading_lines", "SELECT doc_id, CAST(ceil((length(text) - length(replace(text, chr(10), '')) + 1) / 3.0) AS BIGINT) AS n FROM documents WHERE text <> ''")
 def agg11(spark, sf_dir):
-    titles = F.filter(tx.lines(F.col("text")), lambda x: st.heading(tx.strip(x)).isNotNull())
+    titles = st.heads(tx.lines(F.col("text")))
     return _sectioned(spark, sf_dir).select("doc_id", F.size(titles).cast("long").alias("n")).where("n > 0")
 
 

@@ -174,3 +174,13 @@ def test_all_headings_of_lines(spark):
     docs = spark.createDataFrame([(1, " Abstract \nx\n" + "y" * 40 + "\nMethods\nAbstract\n1. Summary:"), (2, None)], "doc_id long, text string")
     found = {r.doc_id: [tuple(h) for h in r.h] for r in docs.select("doc_id", st.heads(tx.lines(F.col("text"))).alias("h")).collect()}
     assert found == {1: [(0, "research_background"), (3, "research_method"), (4, "research_background"), (5, "research_conclusion")], 2: []}
+
+
+def test_work_on_texts_is_dealt_by_their_ids(spark):
+    """A table of one row group is read by one task, but its texts are worked on by all; words are counted where they are."""
+    from foliate.plans import catalog
+
+    for name in ("agg08_frequent_words", "str11_garbage_lines", "agg11_heading_lines"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.split("\n") if "Exchange" in x]
+        assert len(dealt) == 1 and "hashpartitioning(doc_id#" in dealt[0] and "REPARTITION" in dealt[0], plan
