@@ -1,7 +1,7 @@
 """Backups that are written and read: tables, and files kept once by their content, published by a record that comes last.
 
     root/objects/<snapshot>/            contents (sha256, content) that no earlier snapshot has
-    root/snapshots/<snapshot>/table=... tables, and the manifest of all files (path, size, sha256)
+    root/snapshots/<snapshot>/table=... tables, and the manifest of all files (path, size, sha256, and rows: how many had the path)
     root/records/<snapshot>.json        the record: without one a snapshot is not there
     root/CURRENT                        the snapshot that is restored
 """
@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.sources.staging import Files
+from foliate.sources.staging import BROADCAST_ROWS, Files, discard, staged
 
 #: Version of the layout, and the table that a backup can't do without (fixed values).
 VERSION, CORE = 1, "lib"
@@ -58,11 +58,11 @@ class Store:
         self.discard(name)
         told = files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
         here = f"{self.root}/snapshots/{name}"
-        told.groupBy("path").agg(F.max(F.struct("sha256", "size")).alias("f")).select("path", "f.size", "f.sha256").write.parquet(f"{here}/manifest")
-        wanted = self.manifest(name).select("sha256").distinct()
-        if not full:
-            wanted = wanted.join(self.objects().select("sha256"), "sha256", "left_anti")
-        told.join(wanted, "sha256", "left_semi").dropDuplicates(["sha256"]).select("sha256", "content").write.parquet(f"{self.root}/objects/{name}")
+        files_of_path = told.groupBy("path").agg(F.max(F.struct("sha256", "size")).alias("f"), F.count("*").alias("rows"))
+        files_of_path.select("path", "f.size", "f.sha256", "rows").write.parquet(f"{here}/manifest")
+        packed, marks = self._packed(name, told, full)
+        packed.write.parquet(f"{self.root}/objects/{name}")
+        discard(marks)
         own = self.spark.read.schema("sha256 string, content binary").parquet(f"{self.root}/objects/{name}")
         n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()
         kind = "full" if full else "incremental"
@@ -76,6 +76,28 @@ class Store:
         self.files.write(f"records/{name}.json", json.dumps(record))
         return record
 
+    def _packed(self, name: str, told: DataFrame, full: bool) -> tuple[DataFrame, DataFrame]:
+        """Rows (sha256, content) that a snapshot packs, and the staged list that tells them. One path is chosen for each content from the manifest, and contents stay
+        where they are read: the shorter list, of paths to pack or of the others, goes to them. A list that is counted to be too
+        long for that is shuffled, and the contents with it, once. Contents of paths of several rows are set apart and shuffled."""
+        listed = self.spark.read.schema(f"{_FILES}, rows long").parquet(f"{self.root}/snapshots/{name}/manifest")
+        one = listed.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(F.struct("path")).alias("f"))
+        if not full:
+            one = one.join(self.objects().select("sha256"), "sha256", "left_anti")
+        chosen = one.select(F.col("f.path").alias("_path"), F.lit(True).alias("packed"))
+        marked = listed.join(chosen, F.col("path").eqNullSafe(F.col("_path")), "left")
+        marks = staged(marked.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha256"), "rows", F.coalesce("packed", F.lit(False)).alias("packed")), "packing")
+        single = F.col("packed") & (F.col("rows") == 1)
+        n, others, repeated = marks.agg(F.count_if(single), F.count_if(~single), F.count_if(F.col("packed") & ~single)).first()
+        short = marks.where(single if n <= others else ~single).select("_path")
+        sent = F.broadcast(short) if min(n, others) <= BROADCAST_ROWS else short
+        found = told.join(sent, F.col("path").eqNullSafe(F.col("_path")), "left_semi" if n <= others else "left_anti").select("sha256", "content")
+        if not repeated:
+            return found, marks
+        several = marks.where(F.col("packed") & ~single)
+        same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("sha256") == F.col("_sha256"))
+        return found.unionByName(told.join(several, same, "left_semi").select("sha256", "content").dropDuplicates(["sha256"])), marks
+
     def discard(self, name: str) -> None:
         """Takes away what a snapshot without a record has left behind."""
         if not self.files.exists(f"records/{name}.json"):
@@ -119,7 +141,12 @@ class Store:
     def current(self) -> str | None:
         return self.files.read("CURRENT") if self.files.exists("CURRENT") else None
 
-    def restored_files(self, name: str) -> DataFrame:
-        """Rows (path, size, sha256, content) of a snapshot's files, with their contents from whichever snapshot holds them."""
-        kept = self.objects().dropDuplicates(["sha256"])
-        return self.manifest(name).join(kept, "sha256", "left").select("path", "size", "sha256", "content")
+    def restored_files(self, name: str, papers: DataFrame | None = None) -> DataFrame:
+        """Rows (path, size, sha256, content) of a snapshot's files, with their contents from whichever snapshot holds them.
+
+        With papers, a table with a path: its rows whose path is a file of the snapshot, with these columns behind their own.
+        Contents move once, by their hash: what names a file is put together before.
+        """
+        kept, listed = self.objects().dropDuplicates(["sha256"]), self.manifest(name)
+        named = listed if papers is None else papers.join(listed, "path")
+        return named.join(kept, "sha256", "left").select(*(["path"] if papers is None else papers.columns), "size", "sha256", "content")
