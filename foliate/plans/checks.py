@@ -47,7 +47,7 @@ def jn13(spark, sf_dir):
 @query("jn14_section_paragraphs", f"WITH {_SECTIONED} SELECT DISTINCT doc_id, dimension, CAST(floor(line_no / 3) AS INT) AS paragraph FROM lined JOIN dims ON d = CAST(least(floor(line_no / 3), 4) AS INT)")
 def jn14(spark, sf_dir):
     spaced = _sectioned(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\n(?=Abstract|Methods|Innovations|Conclusions|References)", "\n\n"))
-    return st.section_paragraphs(spaced)
+    return st.section_paragraphs(spaced, empty=True)
 
 
 @query("win04_line_ordinals", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS ordinal FROM ({_LINES}) WHERE trim(line) <> ''")
@@ -58,7 +58,7 @@ def win04(spark, sf_dir):
 
 @query("win07_section_bounds", f"WITH {_SECTIONED} SELECT doc_id, dimension, CAST(head_at + 1 AS BIGINT) AS first_line, CAST(coalesce(lead(head_at) OVER (PARTITION BY doc_id ORDER BY d), total) AS BIGINT) AS end_line FROM open JOIN dims USING (dimension, d)")
 def win07(spark, sf_dir):
-    return st.sections(_sectioned(spark, sf_dir)).select("doc_id", "dimension", F.col("first_line").cast("long").alias("first_line"), F.col("end_line").cast("long").alias("end_line"))
+    return st.sections(_sectioned(spark, sf_dir, ended=True)).select("doc_id", "dimension", F.col("first_line").cast("long").alias("first_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 @query("win08_first_hits", f"WITH {_SECTIONED} SELECT doc_id, dimension, CAST(head_at AS BIGINT) AS line_no FROM open")

@@ -228,7 +228,7 @@ def src09(spark, sf_dir):
 @query("doc04_section_anchors", f"WITH {_SECTIONED} SELECT doc_id, dimension, string_agg(CAST(p AS VARCHAR), '|' ORDER BY p) AS anchors FROM (SELECT DISTINCT doc_id, dimension, CAST(floor(line_no / 3) AS INT) AS p FROM lined JOIN dims ON d = CAST(least(floor(line_no / 3), 4) AS INT)) GROUP BY doc_id, dimension")
 def doc04(spark, sf_dir):
     spaced = _sectioned(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\n(?=Abstract|Methods|Innovations|Conclusions|References)", "\n\n"))
-    rows = st.section_paragraphs(spaced).groupBy("doc_id", "dimension").agg(F.array_sort(F.collect_list("paragraph")).alias("p"))
+    rows = st.section_paragraphs(spaced, empty=True).groupBy("doc_id", "dimension").agg(F.array_sort(F.collect_list("paragraph")).alias("p"))
     return rows.select("doc_id", "dimension", F.array_join(F.col("p").cast("array<string>"), "|").alias("anchors"))
 
 
